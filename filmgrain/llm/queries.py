@@ -14,6 +14,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .splitting import split
+
+    pieces = split(table(spark, sf, "reviews"), "id", "content")
+    return pieces.where("n_pieces > 1").select(F.col("id").alias("review_id")).distinct()
+
+
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from .splitting import split
+
+    rows = table(spark, sf, "reviews").dropDuplicates(["id"])
+    return split(rows, "id", "content").select(F.col("id").alias("review_id"), "piece_no", "n_pieces", "begin", "end", "new_from", "piece")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from .neardup import near_duplicate_pairs
 
@@ -27,6 +41,32 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "reviews"), "id", "content", shingle=3, least=0.6, min_words=40).withColumnRenamed("id", "review_id")
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_groups": p4_groups}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .sharedspans import shared_pieces
+
+    return shared_pieces(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    from .sharedspans import shared_spans
+
+    return shared_spans(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    from .sharedspans import shared_coverage
+
+    return shared_coverage(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
+    from .sharedspans import sharing_groups
+
+    return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p9_found, p9_spans, p9_coverage, p9_groups)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
+}
