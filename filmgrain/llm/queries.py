@@ -28,6 +28,20 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split(rows, "id", "content").select(F.col("id").alias("review_id"), "piece_no", "n_pieces", "begin", "end", "new_from", "piece")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .neighbours import similar_pairs
+
+    pairs = similar_pairs(table(spark, sf, "movie_reviews"), "id", "vector", 0.8)
+    return pairs.select(F.col("id_a").alias("point_id_a"), F.col("id_b").alias("point_id_b"))
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    near = neighbours(table(spark, sf, "movie_reviews"), "id", "vector")
+    return near.select(F.col("id").alias("point_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 4).alias("similarity"), "rank")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from .neardup import near_duplicate_pairs
 
@@ -41,6 +55,18 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "reviews"), "id", "content", shingle=3, least=0.6, min_words=40).withColumnRenamed("id", "review_id")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .leakage import leaks
+
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id").where("longest_run >= 12").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    from .leakage import leaks
+
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from .sharedspans import shared_pieces
 
@@ -65,7 +91,7 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
     return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p9_found, p9_spans, p9_coverage, p9_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p7_found, p7_leaks, p9_found, p9_spans, p9_coverage, p9_groups)}
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
