@@ -55,6 +55,39 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "reviews"), "id", "content", shingle=3, least=0.6, min_words=40).withColumnRenamed("id", "review_id")
 
 
+def _latest_movies(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each movie: the last crawl's."""
+    rows = table(spark, sf, "movies").select("id", F.struct("updated_at", "overview", "lang").alias("row"))
+    return rows.groupBy("id").agg(F.max("row").alias("row")).select("id", "row.overview", "row.lang")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .language import learn, wrong_labels
+
+    reviews = table(spark, sf, "reviews")
+    model = learn(reviews, "content", "lang")
+    parts = [wrong_labels(reviews, "id", "content", "lang", model).withColumn("record_kind", F.lit("review")), wrong_labels(_latest_movies(spark, sf), "id", "overview", "lang", model).withColumn("record_kind", F.lit("movie"))]
+    return parts[0].unionByName(parts[1]).select("record_kind", F.col("id").alias("record_id"), "lang")
+
+
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    from .language import learn, segments
+
+    reviews = table(spark, sf, "reviews")
+    model = learn(reviews, "content", "lang")
+    found = segments(reviews, "id", "content", model).drop("label").distinct()
+    return found.select(F.col("id").alias("review_id"), "begin", "end", F.col("found").alias("lang"), "confidence")
+
+
+def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
+    from .language import languages_of, learn
+
+    reviews = table(spark, sf, "reviews")
+    model = learn(reviews, "content", "lang")
+    parts = [languages_of(reviews, "id", "content", model, "lang", 1).withColumn("record_kind", F.lit("review")), languages_of(_latest_movies(spark, sf), "id", "overview", model, "lang", 1).withColumn("record_kind", F.lit("movie"))]
+    return parts[0].unionByName(parts[1]).select("record_kind", F.col("id").alias("record_id"), F.array_join("found", ",").alias("langs"), F.col("main").alias("lang"), "main_share", "confidence")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     from .leakage import leaks
 
@@ -91,7 +124,7 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
     return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p7_found, p7_leaks, p9_found, p9_spans, p9_coverage, p9_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p9_found, p9_spans, p9_coverage, p9_groups)}
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
