@@ -55,6 +55,36 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "reviews"), "id", "content", shingle=3, least=0.6, min_words=40).withColumnRenamed("id", "review_id")
 
 
+def _abuse_model(spark: SparkSession, sf: str):
+    from .abuse import learn
+
+    return learn(table(spark, sf, "reviews"), "id", "content", table(spark, sf, "review_labels"), "review_id", "toxic")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .abuse import flagged
+
+    return flagged(table(spark, sf, "reviews"), "id", "content", _abuse_model(spark, sf)).withColumnRenamed("id", "review_id")
+
+
+def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from .abuse import scores
+
+    out = scores(table(spark, sf, "reviews"), "id", "content", _abuse_model(spark, sf), "source")
+    return out.select(F.col("id").alias("review_id"), F.col("grp").alias("source"), "score", "flagged")
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = p5_scores(spark, sf)
+    return rows.groupBy("source").agg(F.count("*").alias("reviews"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("flagged").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+def p5_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from .abuse import passages
+
+    return passages(table(spark, sf, "reviews"), "id", "content", _abuse_model(spark, sf)).withColumnRenamed("id", "review_id")
+
+
 def _latest_movies(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each movie: the last crawl's."""
     rows = table(spark, sf, "movies").select("id", F.struct("updated_at", "overview", "lang").alias("row"))
@@ -124,7 +154,7 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
     return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p9_found, p9_spans, p9_coverage, p9_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p9_found, p9_spans, p9_coverage, p9_groups)}
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
