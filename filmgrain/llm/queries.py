@@ -130,6 +130,19 @@ def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id")
 
 
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "source", "text")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    from ..session import cut
+    from .mixing import shares
+
+    return shares(cut(p8_mixture(spark, sf)), table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from .sharedspans import shared_pieces
 
@@ -154,7 +167,7 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
     return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p9_found, p9_spans, p9_coverage, p9_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups)}
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
