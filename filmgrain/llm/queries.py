@@ -42,6 +42,25 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("id").alias("point_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 4).alias("similarity"), "rank")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .privacy import findings
+
+    return findings(table(spark, sf, "reviews"), "id", "content").select(F.col("id").alias("review_id"), "kind").distinct()
+
+
+def p3_findings(spark: SparkSession, sf: str) -> DataFrame:
+    from .privacy import findings
+
+    return findings(table(spark, sf, "reviews"), "id", "content").distinct().withColumnRenamed("id", "review_id")
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    from .privacy import redacted
+
+    rows = table(spark, sf, "reviews").dropDuplicates(["id"])
+    return redacted(rows, "id", "content").select(F.col("id").alias("review_id"), F.col("text").alias("content"), "findings")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from .neardup import near_duplicate_pairs
 
@@ -167,7 +186,7 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
     return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_findings, p3_redacted, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups)}
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
