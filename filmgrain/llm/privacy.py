@@ -75,7 +75,7 @@ WORD = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
 FULL = rf"(?:{WORD}(?:\s(?:\p{{Lu}}\.\s)?{WORD}){{1,3}}|{WORD},\s{WORD})"
 NAME_AFTER = regex.compile(rf"(?i:\b(?:{RELATIVES}|{SIGNED})(?![\p{{L}}])(?:\s+(?:là|is|was|named|called|namens|llamad[oa]))?[,:]?\s+{TITLE}(?:tôi là\s+)?)({FULL})(?![\p{{L}}])")
 NAME_BEFORE = regex.compile(rf"(?<![\p{{L}}'’-])({FULL})\s*,?\s+(?i:{HERE})")
-NAME_DASH = regex.compile(rf"(?:(?<=[\s.!?>])|^)(?:-|—|--|~)\s?({FULL})(?=\s*(?:[.!]|$|\n|<|\s\p{{Lu}}))", regex.M)
+NAME_DASH = regex.compile(rf"(?:(?<=[\s.!?>])|^)(?:-|—|--|~)\s?({FULL})(?=\s*(?:[.!]|$|<))|(?<=[^\s]\s)(?:-|—|--|~)\s?({WORD}\s{WORD})(?=\s\p{{Lu}})", regex.M)
 AT = regex.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba|a còng|a cong)\s*[\])}>]\s*", regex.I)
 DOT = regex.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point|chấm|cham)\s*[\])}>]\s*", regex.I)
 SPOKEN = regex.compile(r"(?<=[\p{L}\p{N}])\s+(?:at|ät|arroba|chez|a còng|a cong)\s+([\p{L}\p{N}-]+(?:\s+(?:dot|punkt|punto|point|chấm|cham)\s+[\p{L}\p{N}-]+)+)", regex.I)
@@ -276,7 +276,11 @@ def find(text: str, steps: int = 63) -> list[tuple[str, int, int]]:
         got += [("address", m.start(), m.end()) for m in ADDRESS.finditer(s)]
     if steps & NAMES:
         found = [m for p in (NAME_AFTER, NAME_BEFORE, NAME_DASH) for m in p.finditer(s)]
-        got += [("name", m.start(1), m.end(1)) for m in found if not (m.group(1).isupper() and s[max(0, m.start() - 20) : m.start(1)].isupper())]
+        for m in found:
+            a, b = m.span(1) if m.group(1) else m.span(2)
+            around = s[m.start() : a] + s[b : m.end()]
+            if not (s[a:b].isupper() and around.isupper()):  # capitals say nothing where all is in capitals
+                got.append(("name", a, b))
     out: list[tuple[str, int, int]] = []
     for kind in KINDS:
         for k, a, b in got:
