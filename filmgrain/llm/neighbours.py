@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .runs import column, whole_runs
 
-SAMPLE, TREES, PROBES, STARTS = 8192, 2, 5, 6
+SAMPLE, TREES, PROBES, STARTS = 8192, 2, 6, 6
 SHARE, LEAST_LEAF, MOST_LEAF = 20, 1000, 24000
 
 
