@@ -75,7 +75,7 @@ WORD = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
 FULL = rf"(?:{WORD}(?:\s(?:\p{{Lu}}\.\s)?{WORD}){{1,3}}|{WORD},\s{WORD})"
 NAME_AFTER = regex.compile(rf"(?i:\b(?:{RELATIVES}|{SIGNED})(?![\p{{L}}])(?:\s+(?:là|is|was|named|called|namens|llamad[oa]))?[,:]?\s+{TITLE}(?:tôi là\s+)?)({FULL})(?![\p{{L}}])")
 NAME_BEFORE = regex.compile(rf"(?<![\p{{L}}'’-])({FULL})\s*,?\s+(?i:{HERE})")
-NAME_DASH = regex.compile(rf"(?:(?<=[\s.!?>])|^)(?:-|—|--|~)\s?({FULL})(?=\s*(?:[.!]|$|<))|(?<=[^\s]\s)(?:-|—|--|~)\s?({WORD}\s{WORD})(?=\s\p{{Lu}}\p{{Ll}})", regex.M)
+NAME_DASH = regex.compile(rf"(?:(?<=[\s.!?>])|^)(?:-|—|--|~)\s?({FULL})(?=\s*(?:[.!]|$|<))|(?<=[^\s][ \t])(?:-|—|--|~)\s?({WORD}\s{WORD})(?=\s\p{{Lu}}\p{{Ll}})", regex.M)
 AT = regex.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba|a còng|a cong)\s*[\])}>]\s*", regex.I)
 DOT = regex.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point|chấm|cham)\s*[\])}>]\s*", regex.I)
 SPOKEN = regex.compile(r"(?<=[\p{L}\p{N}])\s+(?:at|ät|arroba|chez|a còng|a cong)\s+([\p{L}\p{N}-]+(?:\s+(?:dot|punkt|punto|point|chấm|cham)\s+[\p{L}\p{N}-]+)+)", regex.I)
