@@ -188,6 +188,22 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_findings, p3_redacted, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups)}
 
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+
 SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
+    "p2_found": """WITH p AS (SELECT DISTINCT id, vector::DOUBLE[] v FROM movie_reviews WHERE len(vector) = 384 AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
+s AS (SELECT a.id x, b.id y, list_cosine_similarity(a.v, b.v) c FROM p a, p b WHERE a.id <> b.id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) k FROM s) WHERE k <= 10 AND c >= 0.8)
+SELECT DISTINCT least(x, y) AS point_id_a, greatest(x, y) AS point_id_b FROM t""",
+    "p4_found": f"""WITH w AS (SELECT id, {WORDS.format("content")} ws FROM (SELECT DISTINCT id, content FROM reviews)),
+t AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) i FROM w WHERE len(ws) >= 40)),
+n AS (SELECT id, count(*) n FROM t GROUP BY id), b AS (SELECT x.id a, y.id b, count(*) k FROM t x JOIN t y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT a AS review_id_a, b AS review_id_b FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    "p7_found": f"""WITH d AS (SELECT doc_id id, {WORDS.format("text")} ws FROM documents), e AS (SELECT item_id id, {WORDS.format("text")} ws FROM eval_items),
+dg AS (SELECT id, array_to_string(ws[i : i + 11], ' ') g FROM (SELECT id, ws, unnest(range(1, len(ws) - 10)) i FROM d WHERE len(ws) >= 12)),
+eg AS (SELECT id, array_to_string(ws[i : i + 11], ' ') g FROM (SELECT id, ws, unnest(range(1, len(ws) - 10)) i FROM e WHERE len(ws) >= 12))
+SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (g)""",
+    "p9_found": """WITH w AS (SELECT doc_id, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1) SELECT DISTINCT doc_id FROM w JOIN s USING (h)""",
 }
