@@ -251,7 +251,7 @@ def severities(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndar
     text = t.text_of[a] if len(a) else a
     p = model.p(top, np.diff(t.first)[text])
     some = p < PASSAGE_P
-    return np.bincount(text[some], -np.log10(p[some]), len(t.first) - 1), a[some], b[some], p[some]
+    return np.bincount(text[some], -np.log10(p[some]), len(t.first) - 1).astype(float), a[some], b[some], p[some]
 
 
 def learn(texts: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str) -> Model:
