@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .runs import column, whole_runs
 
-GRAM = 50
+GRAM = 100
 #: Rows of one MinHash whose passages are compared at a time; more are compared in slices of passage offsets.
 ROWS = 20_000
 
