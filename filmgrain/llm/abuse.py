@@ -132,7 +132,7 @@ def excursions(score: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     a, b = np.flatnonzero(up == 1), np.flatnonzero(up == -1)
     if not len(a):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    top = np.maximum.reduceat(height, np.stack([a, np.minimum(b, len(height) - 1)], 1).ravel())[::2]
+    top = np.maximum.reduceat(np.append(height, 0.0), np.stack([a, b], 1).ravel())[::2]
     run = np.repeat(np.arange(len(a)), b - a)
     inside = np.flatnonzero(height > 1e-9)
     peak = inside[np.isclose(height[inside], top[run], rtol=0, atol=1e-12)]
