@@ -1,8 +1,8 @@
 """Problem 5: abusive, hateful or sexual content, by maximum-scoring segments over token log-odds.
 
 Fitting (on the driver, at most about SAMPLE labelled texts): words and pairs of neighbouring words get the log-odds of
-abusive against other text under a Dirichlet prior with the sample's own frequencies, divided by their standard error where
-that is above one. Labels are of whole texts, so fitting alternates: the best segment of each text labelled as a case is abusive text,
+abusive text against the whole corpus, whose counts of all words of the labelled cases are taken in one pass over all texts,
+under a Dirichlet prior with the corpus's frequencies, divided by their standard error where that is above one. Labels are of whole texts, so fitting alternates: the best segment of each text labelled as a case is abusive text,
 all else isn't. Scores less a drift have a negative mean on clean text, which is what segment statistics need.
 
 Scanning: a linear pass over a text's scores finds every segment of maximal score. The greatest score of a text of n words
@@ -143,6 +143,27 @@ def excursions(score: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return word[a], word[peak], top
 
 
+class Background:
+    """Counts in the corpus of the words and pairs that occur in labelled cases, and the number of all words."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, total: float):
+        self.key, self.count, self.total = key, count, total
+
+    @staticmethod
+    def vocabulary(t: Tokens, case: np.ndarray) -> np.ndarray:
+        own = case[t.text_of]
+        return np.unique(np.concatenate([t.word[own], t.pair[own]]))
+
+    @staticmethod
+    def tally(t: Tokens, vocabulary: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vocabulary))
+        for h in (t.word, t.pair):
+            if len(h) and len(vocabulary):
+                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                out += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
+        return out
+
+
 class Model:
     def __init__(self) -> None:
         self.key, self.value = np.empty(0, np.uint64), np.empty(0)
@@ -160,24 +181,21 @@ class Model:
         score[1:][again] = np.minimum(score[1:][again], -DRIFT)
         return score
 
-    def learn(self, t: Tokens, abusive: np.ndarray) -> None:
-        """Log-odds of abusive words and pairs against the others."""
-        keys, values = [], []
-        for h in (t.word, t.pair):
-            k, inv = np.unique(h, return_inverse=True)
-            y, z = np.bincount(inv, abusive, len(k)), np.bincount(inv, ~abusive, len(k))
-            prior = (y + z) / max(len(h), 1)
-            a, b = y + PRIOR * prior, z + PRIOR * prior
-            na, nb = y.sum() + PRIOR, z.sum() + PRIOR
-            odds = np.log(a / (na - a + 1e-9)) - np.log(b / (nb - b + 1e-9))
-            error = np.sqrt(1 / (a + 0.3) + 1 / (b + 0.3))
-            odds = odds / np.maximum(error, 1)
-            some = np.abs(odds) > 0.1
-            keys.append(k[some])
-            values.append(np.clip(odds[some], -4, 6))
-        self.key, self.value = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(self.key)
-        self.key, self.value = self.key[order], self.value[order]
+    def learn(self, t: Tokens, abusive: np.ndarray, corpus: Background) -> None:
+        """Log-odds of the words and pairs of abusive text against the corpus."""
+        if not len(corpus.key):
+            return
+        y = np.zeros(len(corpus.key))
+        for h in (t.word[abusive], t.pair[abusive]):
+            at = np.minimum(np.searchsorted(corpus.key, h), len(corpus.key) - 1)
+            y += np.bincount(at[corpus.key[at] == h], minlength=len(corpus.key))
+        n = max(int(abusive.sum()), 1)
+        share = np.maximum(corpus.count, 0.5) / max(corpus.total, 1)
+        odds = np.log((y + PRIOR * share) / (n + PRIOR)) - np.log(share)
+        error = np.sqrt(1 / (y + 0.3) + 1 / (corpus.count + 0.3))
+        odds /= np.maximum(error, 1)
+        some = np.abs(odds) > 0.1
+        self.key, self.value = corpus.key[some], np.clip(odds[some], -4, 6)
 
     def best(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text its greatest segment's score, first and last word."""
@@ -189,11 +207,11 @@ class Model:
         score[text[order]], lo[text[order]], hi[text[order]] = top[order], a[order], b[order]
         return score, lo, hi
 
-    def fit(self, t: Tokens, case: np.ndarray, rounds: int = 4) -> None:
+    def fit(self, t: Tokens, case: np.ndarray, corpus: Background, rounds: int = 4) -> None:
         """case: whether each text is labelled as one."""
         abusive = case[t.text_of]
         for _ in range(rounds):
-            self.learn(t, abusive)
+            self.learn(t, abusive, corpus)
             score, lo, hi = self.best(t)
             some = np.flatnonzero(case & (score > 0))
             step = np.zeros(len(t.word) + 1)
@@ -218,8 +236,11 @@ class Model:
         return np.maximum(-np.expm1(-self.size * n * np.exp(-self.rate * score)), 1e-300)
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """A model with its cut-off. Each of FOLDS parts of the texts is scored by a model fitted on the others."""
+def train(texts: list[str], labels: list[int], count=None) -> Model:
+    """A model with its cut-off. Each of FOLDS parts of the texts is scored by a model fitted on the others.
+
+    count: gives the corpus's counts of a sorted array of hashes and its number of words; without it the texts are the corpus.
+    """
     model = Model()
     case = np.array(labels, bool)
     if case.sum() < 5 or (~case).sum() < 5:
@@ -230,9 +251,12 @@ def train(texts: list[str], labels: list[int]) -> Model:
     def tokens(which: np.ndarray) -> Tokens:
         return Tokens(*ta.decode(pa.array([texts[i] for i in np.flatnonzero(which)], pa.string())))
 
+    every = tokens(np.ones(len(texts), bool))
+    vocabulary = Background.vocabulary(every, case)
+    corpus = Background(vocabulary, *(count(vocabulary) if count else (Background.tally(every, vocabulary), len(every.word))))
     for k in range(FOLDS):
         part = Model()
-        part.fit(tokens(fold != k), case[fold != k])
+        part.fit(tokens(fold != k), case[fold != k], corpus)
         severity[fold == k] = severities(part, tokens(fold == k))[0]
     order = np.argsort(-severity, kind="stable")
     hits = np.cumsum(case[order])
@@ -240,7 +264,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     f1[severity[order] <= 0] = 0
     k = int(f1.argmax())
     below = severity[order[k + 1]] if k + 1 < len(order) else 0.0
-    model.fit(tokens(np.ones(len(texts), bool)), case)
+    model.fit(every, case, corpus)
     model.cutoff = float((severity[order[k]] + below) / 2)
     return model
 
@@ -262,7 +286,30 @@ def learn(texts: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     known = rows.join(F.broadcast(votes), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("vote").alias("vote"))
     got = known.toArrow().sort_by("id").to_pydict()
-    return train(got["text"], [int(v > 0.5) for v in got["vote"]])
+
+    def count(vocabulary: np.ndarray) -> tuple[np.ndarray, float]:
+        """One pass over all texts; what comes back has at most the vocabulary's size, which the sample bounds."""
+        n = rows.select("text").mapInArrow(_count(vocabulary), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        at, n = n.column("at").to_numpy(), n.column("n").to_numpy()
+        out = np.zeros(len(vocabulary))
+        out[at[at >= 0]] = n[at >= 0]
+        return out, float(n[at < 0].sum())
+
+    return train(got["text"], [int(v > 0.5) for v in got["vote"]], count)
+
+
+def _count(vocabulary: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words = np.zeros(len(vocabulary)), 0
+        for batch in batches:
+            for _, cps, offs in ta.chunks(batch):
+                t = Tokens(cps, offs)
+                total += Background.tally(t, vocabulary)
+                words += len(t.word)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"at": np.append(at, -1).astype(np.int32), "n": np.append(total[at], float(words))})
+
+    return run
 
 
 def _score(model: Model, passages: bool):
