@@ -88,13 +88,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(lo, hi - lo)
 
 
+def _one(col: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+
+
 def _passages(t: pa.Table, least: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start within the row's context, and key of the passages that begin lo to hi characters before the row's MinHash."""
     rows, starts, keys = [], [], []
     fp, lead = column(t, "fp").view(np.uint64), column(t, "lead").astype(np.int64)
     for at in range(0, t.num_rows, 2000):
-        text = t.column("text").slice(at, 2000).combine_chunks()
-        cps, offs = ta.decode(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
+        cps, offs = ta.decode(_one(t.column("text").slice(at, 2000)))
         n, d = np.diff(offs), lead[at : at + len(offs) - 1]
         begin, end = np.maximum(0, d - hi + 1), np.minimum(d - lo, n - least) + 1
         count = np.maximum(end - begin, 0)
@@ -113,8 +117,8 @@ def _verify(least: int):
         row, start, key = _passages(t, least, lo, hi)
         if not len(row):
             return
-        ids = t.column("id").combine_chunks().dictionary_encode()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        own = _one(t.column("id"))
+        ids = own.dictionary_encode()
         names, doc = ids.dictionary, ids.indices.to_numpy()[row]
         order = np.lexsort((doc, key))
         k, d = key[order], doc[order]
@@ -133,7 +137,7 @@ def _verify(least: int):
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(row)) - 1
         base = (column(t, "pos").astype(np.int64) - column(t, "lead"))[row[a]]
-        yield pa.record_batch({"id": t.column("id").combine_chunks().take(pa.array(row[a])) if not isinstance(t.column("id").combine_chunks(), pa.ChunkedArray) else t.column("id").take(pa.array(row[a])).combine_chunks(), "begin": (base + start[a]).astype(np.int32), "end": (base + start[b] + least).astype(np.int32), "link": names.take(pa.array(link[a]))})
+        yield pa.record_batch({"id": own.take(pa.array(row[a])), "begin": (base + start[a]).astype(np.int32), "end": (base + start[b] + least).astype(np.int32), "link": names.take(pa.array(link[a]))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = least - GRAM + 1
