@@ -21,7 +21,8 @@ def _toggle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def like_states(toggles: DataFrame, user: str, target: str) -> DataFrame:
     """A stream of the latest state of every toggled pair; summed up it equals like_parity over the same log."""
     rows = toggles.where(F.col(user).isNotNull() & F.col(target).isNotNull())
-    return rows.groupBy(F.col(user).cast("string").alias("u"), F.col(target).cast("string").alias("t")).applyInPandasWithState(_toggle, "user_id string, review_id string, liked boolean", "liked boolean", "update", GroupStateTimeout.NoTimeout)
+    pairs = rows.select(F.col(user).cast("string").alias("u"), F.col(target).cast("string").alias("t"))
+    return pairs.groupBy("u", "t").applyInPandasWithState(_toggle, "user_id string, review_id string, liked boolean", "liked boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def ingest_stream(pages: DataFrame, key: str, existing: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str):
