@@ -23,6 +23,12 @@ def local_session(cpus: int = 8, app: str = "filmgrain", memory: str = "8g") ->
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, named by spark.checkpoint.dir.
 
@@ -31,13 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not is_local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix=f"filmgrain-{os.getpid()}-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def ship(spark: SparkSession, name: str, content: bytes) -> None:
+    """Gives the executors' Python workers a zipped package, through the shared folder."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(content))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
