@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .runs import column, whole_runs
 
-SAMPLE, TREES, PROBES, STARTS = 8192, 3, 7, 6
+SAMPLE, TREES, PROBES, STARTS = 8192, 3, 5, 6
 SHARE, LEAST_LEAF, MOST_LEAF = 32, 1000, 12000
 
 
