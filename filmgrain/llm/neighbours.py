@@ -8,7 +8,7 @@ margin on the way, the usual order, needs twice the visits for the same recall);
 Vectors meet by a shuffle on leaves; within a leaf the candidates are ranked exactly, by cosine of vectors that travel as
 16-bit integers with a scale of their own (error of a cosine below 1e-5).
 
-Leaves have about 1/32 of the vectors, at least 1,000 and at most 12,000, so work per vector stops growing at 380,000 vectors.
+Leaves have about 1/32 of the vectors, at least 1,000 and at most 14,000, so work per vector stops growing at 450,000 vectors.
 
 Equal vectors form one class (a hash of the values); a class takes one place in a leaf however many ids it has, and its ids
 come in again when pairs of classes have been ranked. Defined results: rows with a NULL id, a NULL or wrongly sized vector, NULL,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .runs import column, whole_runs
 
 SAMPLE, TREES, PROBES, STARTS = 8192, 3, 5, 6
-SHARE, LEAST_LEAF, MOST_LEAF = 32, 1000, 12000
+SHARE, LEAST_LEAF, MOST_LEAF = 32, 1000, 14000
 
 
 class Tree:
