@@ -4,10 +4,10 @@ Indexing: each task turns blocks of texts into index segments. A segment has, fo
 positions (one running count over the segment's texts, with a free place between texts) as delta-coded variable-length bytes,
 and a directory of its texts. Segments are written to the shared folder; the index has every word of every text.
 
-Searching: of every window of least consecutive test words the one that is rarest in the corpus is an anchor, so each exact
-match of least words contains an anchor. Posting lists of anchors, shifted by the anchor's place in the item, give candidate
-alignments; these are intersected with the shifted lists of the neighbouring words, then with those of all words of the item.
-Runs of least words or more are exact matches; alignments of one text that together cover half of an item are proximity matches.
+Searching: the posting lists of the test words, laid side by side, give the runs of NEAR test words in a segment; these are joined
+with the runs of NEAR words of the items, all of them, so no match depends on a word that may have been edited. Joined runs of one
+alignment that follow one another are one run. Runs of least words or more are exact matches; runs of NEAR words or more that
+together cover half of an item are proximity matches.
 
 Items go to the segments in blocks of at most BLOCK_CHARS characters of item text, which bounds what is broadcast.
 
@@ -33,6 +33,8 @@ from .runs import column, whole_runs
 BLOCK_CHARS = 4_000_000
 #: Words in a row that count towards the covered part of an item.
 NEAR = 4
+#: Joined runs of a segment and of items that are held at a time.
+PAIRS = 4_000_000
 INDEX = "seg long, term long, n int, posts binary"
 
 
@@ -88,7 +90,7 @@ def build_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Items:
-    """One block of items: their words, and the anchors once the words' counts in the corpus are known."""
+    """One block of items: their words, and the runs of words that any match contains."""
 
     def __init__(self, rows: pa.Table, least: int):
         batch = rows.combine_chunks()
@@ -98,17 +100,24 @@ class Items:
         self.id = batch.column("id").to_numpy()
         self.least = least
         self.terms = np.unique(self.term)
-
-    def anchor(self, count: dict[int, int]) -> None:
-        c = np.array([count.get(int(t), 0) for t in self.terms], np.int64)
-        rare = c[np.searchsorted(self.terms, self.term)]
-        at: list[np.ndarray] = []
-        for lo, hi in zip(self.first[:-1], self.first[1:]):
-            if hi - lo >= self.least:
-                view = np.lib.stride_tricks.sliding_window_view(rare[lo:hi], self.least)
-                pick = np.unique(view.argmin(1) + np.arange(len(view))) + lo
-                at.append(pick[rare[pick] > 0])
-        self.anchors = np.concatenate(at) if at else np.empty(0, np.int64)
+        word = (np.searchsorted(self.terms, self.term) + 1).astype(np.uint64)
+        self.run = min(NEAR, least)
+        width = np.diff(self.first)
+        self.at = np.arange(len(word)) - np.repeat(self.first[:-1], width)
+        self.item = np.repeat(np.arange(len(self.id)), width)
+        start = np.flatnonzero((self.at + self.run <= width[self.item]) & (width[self.item] >= least))
+        gram = grams(word, self.run)[start]
+        order = np.argsort(gram, kind="stable")
+        self.start, (self.gram, begin) = start[order], np.unique(gram[order], return_index=True)
+        self.begin = np.append(begin, len(start))
+
+
+def grams(word: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on, as many as there are places with n words."""
+    h = np.zeros(max(len(word) - n + 1, 0), np.uint64)
+    for j in range(n):
+        h = ta.mix(h * np.uint64(ta.BASE) + word[j : j + len(h)])
+    return h
 
 
 def _search(items: Items, near_share: float):
@@ -124,61 +133,55 @@ def _search(items: Items, near_share: float):
         total = np.cumsum(pos)
         pos = total - np.repeat(np.concatenate([[0], total[end[:-1] - 1]]), n)
         # the word at each place of the segment, as far as it is a test word; 0 elsewhere
-        place = np.searchsorted(items.terms, term) + 1
-        size = len(items.term)
-        longest = int(np.diff(items.first).max())
-        at = np.zeros(int(pos.max()) + 2 * longest + 2, np.int32)
-        at[pos + longest] = np.repeat(place, n)
-        word = (np.searchsorted(items.terms, items.term) + 1).astype(np.int32)
-        item_of = np.repeat(np.arange(len(items.id)), np.diff(items.first))
-        # candidate alignments from the anchors' posting lists, shifted by the anchors' places
-        by_term = np.argsort(term)
-        where = np.minimum(np.searchsorted(term[by_term], items.term[items.anchors]), len(term) - 1)
-        row = by_term[where]
-        hit = term[row] == items.term[items.anchors]
-        anchor, row = items.anchors[hit], row[hit]
-        count = n[row]
-        k = np.repeat(anchor, count)
-        p = pos[np.arange(count.sum()) + np.repeat(end[row] - n[row] - np.cumsum(count) + count, count)]
-        item = item_of[k]
-        before = (k > items.first[item]) & (at[p + longest - 1] == word[k - 1])
-        after = (k + 1 < items.first[item + 1]) & (at[p + longest + 1] == word[np.minimum(k + 1, size - 1)])
-        keep = before | after
-        shift, item = (p - (k - items.first[item]))[keep], item[keep]
-        if not len(item):
-            return
-        pair = np.unique(np.stack([item, shift], 1), axis=0)
-        width = np.diff(items.first)[pair[:, 0]]
-        found: list[np.ndarray] = []
-        lo = 0
-        while lo < len(pair):
-            hi = min(len(pair), lo + max(1, 4_000_000 // longest))
-            i, s = pair[lo:hi, 0], pair[lo:hi, 1]
-            j = np.arange(int(width[lo:hi].max()))
-            inside = j < width[lo:hi, None]
-            same = inside & (at[np.maximum(s[:, None] + j + longest, 0)] == word[np.minimum(items.first[i][:, None] + j, size - 1)])
-            edge = np.diff(np.pad(same, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            (r, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            some = b - a >= NEAR
-            doc = np.searchsorted(begin, s[r[some]] + a[some], "right") - 1
-            found.append(np.stack([doc, i[r[some]], a[some], b[some]], 1))
-            lo = hi
-        f = np.concatenate(found)
-        if not len(f):
+        at = np.zeros(int(pos.max()) + 1, np.uint64)
+        at[pos] = np.repeat(np.searchsorted(items.terms, term) + 1, n)
+        gap = np.concatenate([[0], np.cumsum(at == 0)])
+        place = np.flatnonzero(gap[items.run :] == gap[: -items.run])
+        gram = grams(at, items.run)[place]
+        if not len(gram):
             return
-        f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
-        border = np.flatnonzero(np.concatenate([[True], (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1])]))
-        long = np.maximum.reduceat(f[:, 3] - f[:, 2], border)
-        covered = np.zeros(len(border), np.int64)
-        for x, (lo, hi) in enumerate(zip(border, np.append(border[1:], len(f)))):
-            if hi - lo == 1:
-                covered[x] = f[lo, 3] - f[lo, 2]
-            else:
-                covered[x] = len(np.unique(np.concatenate([np.arange(a, b) for a, b in f[lo:hi, 2:]])))
-        item = f[border, 1]
+        row = np.minimum(np.searchsorted(items.gram, gram), len(items.gram) - 1)
+        hit = items.gram[row] == gram
+        place, row = place[hit], row[hit]
+        order = np.argsort(row, kind="stable")
+        place, row = place[order], row[order]
+        # each run of an item with the places of the same run; whole items at a time, as many as memory is meant for
+        lo, hi = (np.searchsorted(row, np.arange(len(items.gram)), side) for side in ("left", "right"))
+        own = np.repeat(np.arange(len(items.gram)), np.diff(items.begin))
+        some = np.flatnonzero(hi[own] > lo[own])
+        some = some[np.argsort(items.item[items.start[some]], kind="stable")]
+        start, lo, count = items.start[some], lo[own[some]], (hi - lo)[own[some]]
+        border = np.flatnonzero(np.diff(items.item[start], prepend=-1, append=-1))
+        total = np.concatenate([[0], np.cumsum(count)])
+        x = 0
+        while x < len(border) - 1:
+            y = max(x + 1, int(np.searchsorted(total[border], total[border[x]] + PAIRS, "right")) - 1)
+            own = slice(border[x], border[y])
+            k = np.repeat(start[own], count[own])
+            p = place[np.arange(len(k)) + np.repeat(lo[own] - total[own] + total[border[x]], count[own])]
+            yield from matches(ids, begin, items.item[k], items.at[k], p)
+            x = y
+
+    def matches(ids: np.ndarray, begin: np.ndarray, item: np.ndarray, at: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((at, p - at, item))
+        item, at, p = item[order], at[order], p[order]
+        doc = np.searchsorted(begin, p, "right") - 1
+        new = np.ones(len(p), bool)
+        new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1] + 1)
+        length = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0)) + items.run
+        order = np.lexsort((at, item, doc))
+        item, at, doc, length = item[order], at[order], doc[order], length[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])
+        border = np.flatnonzero(new)
+        long = np.maximum.reduceat(length, border)
+        step = np.full(len(p), items.run)
+        step[1:][~new[1:]] = np.minimum(at[1:] - at[:-1], items.run)[~new[1:]]
+        covered = np.add.reduceat(step, border)
+        item, doc = item[border], doc[border]
         words = np.diff(items.first)[item]
         ok = (long >= items.least) | (covered >= near_share * words)
-        yield pa.record_batch({"doc_id": ids[f[border, 0]][ok], "item_id": items.id[item][ok], "longest_run": long[ok].astype(np.int32), "covered_words": covered[ok].astype(np.int32), "item_words": words[ok].astype(np.int32)})
+        yield pa.record_batch({"doc_id": ids[doc][ok], "item_id": items.id[item][ok], "longest_run": long[ok].astype(np.int32), "covered_words": covered[ok].astype(np.int32), "item_words": words[ok].astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, "seg"):
@@ -202,8 +205,7 @@ def leaks(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_c
         block = Items(tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow(), least)
         terms = F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(block.terms, pa.int64())})))
         known = index.join(terms, "term", "left_semi").select(*index.columns)
-        block.anchor({r["term"]: r["n"] for r in known.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()})
-        if not len(block.anchors):
+        if not len(block.gram):
             continue
         part = known.unionByName(index.where("term IS NULL")).repartition("seg").sortWithinPartitions("seg")
         hits = part.mapInArrow(_search(block, near_share), "doc_id long, item_id long, longest_run int, covered_words int, item_words int")

@@ -241,3 +241,39 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = rows(components.components(spark.createDataFrame(edges, "a long, b long")), "id", "component")
     assert got == sorted((x, find(x)) for x in parent)
+
+
+def test_leaks_with_edited_words_are_those_of_brute_force(spark):
+    r = random.Random(11)
+    items = [(i, words(r, 40)) for i in range(5)] + [(5, "one two three four " * 6)]
+    docs = [(i, words(r, 60)) for i in range(20)] + [(50, "one two three four and five")]
+    for i, t in items[:5]:
+        for step in (5, 7, 3):  # every word that is edited is one that no other text has
+            w = [x if k % step else f"edited{i}" for k, x in enumerate(t.split())]
+            docs.append((100 + 10 * i + step, f"{words(r, 20)} {' '.join(w[:21])} {words(r, 3)} {' '.join(w[21:])} {words(r, 20)}"))
+
+    def near(d, t):
+        d, t = d.split(), t.split()
+        longest, covered = 0, set()
+        for shift in range(-len(t), len(d)):
+            run = 0
+            for k in range(len(t) + 1):
+                if k < len(t) and 0 <= shift + k < len(d) and d[shift + k] == t[k]:
+                    run += 1
+                    continue
+                if run >= 4:
+                    longest = max(longest, run)
+                    covered |= set(range(k - run, k))
+                run = 0
+        return longest, len(covered), len(t)
+
+    want = sorted((d, i, *n) for d, x in docs for i, t in items if (n := near(x, t))[0] >= 12 or n[1] >= n[2] / 2)
+    df, it = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    cols = ("doc_id", "item_id", "longest_run", "covered_words", "item_words")
+    assert rows(leakage.leaks(df, it, "doc", "item"), *cols) == want and len(want) >= 10
+    old = leakage.PAIRS
+    try:
+        leakage.PAIRS = 1  # each item by itself
+        assert rows(leakage.leaks(df, it, "doc", "item"), *cols) == want
+    finally:
+        leakage.PAIRS = old
