@@ -124,8 +124,8 @@ def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
 
     reviews = table(spark, sf, "reviews")
     model = learn(reviews, "content", "lang")
-    found = segments(reviews, "id", "content", model).drop("label").distinct()
-    return found.select(F.col("id").alias("review_id"), "begin", "end", F.col("found").alias("lang"), "confidence")
+    parts = [segments(reviews, "id", "content", model).withColumn("record_kind", F.lit("review")), segments(_latest_movies(spark, sf), "id", "overview", model).withColumn("record_kind", F.lit("movie"))]
+    return parts[0].unionByName(parts[1]).select("record_kind", F.col("id").alias("record_id"), "begin", "end", F.col("found").alias("lang"), "confidence").distinct()
 
 
 def p6_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -277,3 +277,18 @@ def test_leaks_with_edited_words_are_those_of_brute_force(spark):
         assert rows(leakage.leaks(df, it, "doc", "item"), *cols) == want
     finally:
         leakage.PAIRS = old
+
+
+def test_segments_of_reviews_and_movies(spark, tmp_path):
+    from filmgrain.llm.queries import p6_segments
+
+    english, french = "The film was slow but the ending is great.", "Le film était lent mais la fin est un petit miracle."
+    reviews = [(f"r{i}", text, lang) for i in range(8) for text, lang in ((english, "en"), (french, "fr"))]
+    reviews = [(f"{i}{lang}", text, lang) for i, text, lang in reviews]
+    movies = [("m1", "old", 1, "en"), ("m1", f"{english} {french}", 2, None), ("m2", None, 1, "en"), ("r0en", french, 1, "fr")]
+    spark.createDataFrame(reviews + reviews[:1], "id string, content string, lang string").write.parquet(f"{tmp_path}/reviews.parquet")
+    spark.createDataFrame(movies, "id string, overview string, updated_at int, lang string").write.parquet(f"{tmp_path}/movies.parquet")
+    got = rows(p6_segments(spark, str(tmp_path)), "record_kind", "record_id", "begin", "end", "lang")
+    cut = len(english)
+    assert [g for g in got if g[0] == "movie"] == [("movie", "m1", 0, cut, "en"), ("movie", "m1", cut, cut + 1 + len(french), "fr"), ("movie", "r0en", 0, len(french), "fr")]
+    assert len([g for g in got if g[0] == "review"]) == 16
