@@ -8,7 +8,10 @@ margin on the way, the usual order, needs twice the visits for the same recall);
 Vectors meet by a shuffle on leaves; within a leaf the candidates are ranked exactly, by cosine of vectors that travel as
 16-bit integers with a scale of their own (error of a cosine below 1e-5).
 
-Leaves have about 1/32 of the vectors, at least 1,000 and at most 14,000, so work per vector stops growing at 450,000 vectors.
+Leaves have about 1/32 of the vectors, at least 1,000 and at most 14,000. Beyond 450,000 vectors there are more leaves instead,
+and probes grow with them, so that the searched share of the vectors, and with it recall, holds at every size; work per vector
+grows likewise. A leaf's queries are then parted among several tasks, each with all of the
+leaf's items, so memory per task does not grow.
 
 Equal vectors form one class (a hash of the values); a class takes one place in a leaf however many ids it has, and its ids
 come in again when pairs of classes have been ranked. Defined results: rows with a NULL id, a NULL or wrongly sized vector, NULL,
@@ -28,8 +31,17 @@ from pyspark.sql import functions as F
 
 from .runs import column, whole_runs
 
-SAMPLE, TREES, PROBES, STARTS = 8192, 3, 5, 6
+SAMPLE, TREES, PROBES, STARTS = 8192, 3, 7, 6
 SHARE, LEAST_LEAF, MOST_LEAF = 32, 1000, 14000
+#: Rows in a batch of placed vectors.
+ROWS = 32768
+
+
+def sizes(n: int, probes: int) -> tuple[int, int, int]:
+    """Vectors in a leaf, leaves to visit (probes, and more as soon as leaves stop growing), and tasks that share a leaf's queries."""
+    leaf = min(MOST_LEAF, max(LEAST_LEAF, n // SHARE))
+    chunks = max(1, -(-(n // SHARE) // leaf))
+    return leaf, max(probes, -(-probes * (n // SHARE) // leaf)), chunks
 
 
 class Tree:
@@ -144,7 +156,7 @@ def from_bytes(col: pa.ChunkedArray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _place(forest: Forest, dim: int, probes: int):
+def _place(forest: Forest, dim: int, probes: int, chunks: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
@@ -160,7 +172,16 @@ def _place(forest: Forest, dim: int, probes: int):
                     part[np.arange(len(x)), home[:, t]] |= 1
                 part[np.arange(len(x)), home[:, 0]] |= 4
                 i, leaf = np.nonzero(part)
-                yield pa.record_batch({"leaf": leaf.astype(np.int32), "v": v[i], "part": part[i, leaf], "x": to_bytes(x).take(pa.array(i))})
+                what, chunk = part[i, leaf], v[i] % chunks
+                if chunks > 1:  # items go to all chunks of a leaf, queries to one
+                    own = np.flatnonzero(what & 1)
+                    other = np.repeat(chunk[own], chunks - 1) + np.tile(np.arange(1, chunks), len(own))
+                    i, leaf = np.append(i, np.repeat(i[own], chunks - 1)), np.append(leaf, np.repeat(leaf[own], chunks - 1))
+                    what, chunk = np.append(what, np.ones(len(other), np.int8)), np.append(chunk, other % chunks)
+                key, data = (leaf * chunks + chunk).astype(np.int32), to_bytes(x)
+                for at in range(0, len(i), ROWS):
+                    some = slice(at, at + ROWS)
+                    yield pa.record_batch({"leaf": key[some], "v": v[i[some]], "part": what[some], "x": data.take(pa.array(i[some]))})
 
     return run
 
@@ -208,16 +229,17 @@ def _rank(dim: int, k: int, least: float):
 def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: int = 384, least: float = -1.0, trees: int = TREES, probes: int = PROBES) -> DataFrame:
     """(id, neighbour, similarity, rank): for every id with a usable vector the k ids with the most similar vectors.
 
-    With least, only neighbours of at least that similarity; the k are the same, cut off there.
+    With least, only neighbours of at least that similarity; the k are the same, cut off there. probes is the number of leaves
+    to visit while leaves have 1/SHARE of the vectors; it grows as their share shrinks.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
     n = rows.count()
-    leaf = min(MOST_LEAF, max(LEAST_LEAF, n // SHARE))
+    leaf, probes, chunks = sizes(n, probes)
     sample = rows.where(F.pmod(F.xxhash64("vector"), F.lit(max(n, 1))) < SAMPLE).select("vector").toArrow()
     x = vectors(sample.column("vector").combine_chunks(), dim)[1] if sample.num_rows else np.zeros((0, dim), np.float32)
     forest = Forest(np.unique(x, axis=0), leaf * len(x) // max(n, 1), trees) if len(x) > 1 else Forest(np.zeros((1, dim), np.float32), 2, 1)
     hashed = rows.select("id", F.xxhash64("vector").alias("v"), "vector")
-    placed = hashed.select("v", "vector").mapInArrow(_place(forest, dim, probes), "leaf int, v long, part tinyint, x binary")
+    placed = hashed.select("v", "vector").mapInArrow(_place(forest, dim, probes, chunks), "leaf int, v long, part tinyint, x binary")
     near = placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_rank(dim, k, least), "q long, n long, similarity float")
     if least <= -1:
         best = Window.partitionBy("q").orderBy(F.desc("similarity"), "n")

@@ -292,3 +292,22 @@ def test_segments_of_reviews_and_movies(spark, tmp_path):
     cut = len(english)
     assert [g for g in got if g[0] == "movie"] == [("movie", "m1", 0, cut, "en"), ("movie", "m1", cut, cut + 1 + len(french), "fr"), ("movie", "r0en", 0, len(french), "fr")]
     assert len([g for g in got if g[0] == "review"]) == 16
+
+
+def test_recall_holds_when_leaves_stop_growing(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((30, 16))
+    x = (centres[rng.integers(0, 30, 4000)] + 0.7 * rng.standard_normal((4000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    monkeypatch.setattr(neighbours, "LEAST_LEAF", 10)
+    monkeypatch.setattr(neighbours, "MOST_LEAF", 16)  # an eighth of the 125 that 4,000 vectors would have
+    got = {}
+    for r in neighbours.neighbours(df, "id", "vector", 10, 16).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert all(len(v) == 10 for v in got.values())
+    assert np.mean([len(got[i] & set(t)) / 10 for i, t in enumerate(np.argsort(-s, axis=1)[:, :10].tolist())]) >= 0.95
+    monkeypatch.undo()
+    assert neighbours.sizes(80_000, 7) == (2500, 7, 1) and neighbours.sizes(900_000, 7) == (14000, 15, 3)
