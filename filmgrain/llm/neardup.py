@@ -184,10 +184,22 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, least: float = 0.8, min_words: int = 1) -> DataFrame:
-    """(id, group_id, links): one row for each id that has a partner; group_id is the least id of the connected group."""
-    pairs = near_duplicate_pairs(df, id_col, text_col, shingle, least, min_words)
+    """(id, group_id, links): one row for each id that has a partner; group_id is the least id of the connected group.
+
+    links is the number of partners. Ids with the same texts are one kind, and links are sums over kinds, so that no group of
+    copies, of whatever size, is written out as pairs.
+    """
     from ..session import cut
 
-    pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    links = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    return components(pairs).join(links, "id").select("id", F.col("component").alias("group_id"), "links")
+    far = cut(similar_classes(df, id_col, text_col, shingle, least, min_words).select("a", "b"))
+    members = membership(df, id_col, text_col, min_words).select("c", "id")
+    ids = cut(members.groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("cs")).select("id", F.xxhash64("cs").alias("k"), "cs"))
+    kinds = cut(ids.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("cs").alias("cs")))
+    of = kinds.select("k", "n", "first", F.explode("cs").alias("c"))
+    meet = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(of.select(F.col("c").alias("a"), F.col("c").alias("b")).distinct())
+    near = of.join(meet, F.col("c") == F.col("a")).select(F.col("k"), F.col("first").alias("x"), "b")
+    near = cut(near.join(of.select(F.col("c").alias("b"), F.col("k").alias("l"), "n", F.col("first").alias("y")), "b").select("k", "x", "l", "n", "y").distinct())
+    links = near.groupBy("k", "x").agg((F.sum("n") - 1).alias("links")).where("links > 0")
+    group = components(near.where("k <> l").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("id", "x")
+    every = links.join(group, "x", "left").select("k", F.coalesce("component", "x").alias("group_id"), "links")
+    return ids.select("id", "k").join(every, "k").select("id", "group_id", "links")

@@ -311,3 +311,20 @@ def test_recall_holds_when_leaves_stop_growing(spark, monkeypatch):
     assert np.mean([len(got[i] & set(t)) / 10 for i, t in enumerate(np.argsort(-s, axis=1)[:, :10].tolist())]) >= 0.95
     monkeypatch.undo()
     assert neighbours.sizes(80_000, 7) == (2500, 7, 1) and neighbours.sizes(900_000, 7) == (14000, 15, 3)
+
+
+def test_links_count_every_copy(spark):
+    r = random.Random(13)
+    base = [words(r, 60) for _ in range(6)]
+    near = [" ".join(["edited", *t.split()[1:]]) for t in base]
+    data = [(f"a{i:03}", base[0]) for i in range(205)] + [(f"b{i}", near[0]) for i in range(3)] + [("c0", base[1]), ("c1", near[1]), ("d0", base[2])]
+    data += [("two0", base[0]), ("two0", near[0]), ("two1", base[0]), ("two1", base[3]), ("two2", base[0]), ("two2", base[3]), ("e0", near[3]), ("two3", base[4]), ("two3", near[4])]
+    df = spark.createDataFrame(data + data[:2], "id string, text string")
+    alike = {(s, t) for s in base + near for t in base + near if jaccard(s, t, 3) >= 0.6}
+    partners = {i: {j for j, t in data if j != i and any((s, t) in alike for k, s in data if k == i)} for i, _ in data}
+    got = neardup.near_duplicate_groups(df, "id", "text", 3, 0.6, 40)
+    assert rows(got, "id", "links") == sorted((i, len(p)) for i, p in partners.items() if p)
+    group = dict(rows(got, "id", "group_id"))
+    assert all(group[i] == group[j] for i, p in partners.items() for j in p)
+    assert group["a204"] == "a000" and group["e0"] == "a000" and group["c1"] == "c0" and "d0" not in group and "two3" not in group
+    assert dict(rows(got, "id", "links"))["a204"] == 210
