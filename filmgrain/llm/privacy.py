@@ -92,7 +92,7 @@ NAME_WORDS = (
 
 
 #: Words and word ends that let a text through the gate.
-AT_WORDS, DOT_WORDS = "at ät arroba còng cong chez", "dot punkt punto point chấm cham"
+AT_WORDS, AT_LAST, DOT_WORDS = "at ät arroba còng cong chez", "còng cong", "dot punkt punto point chấm cham"
 STREET_WORDS = "street lane road avenue terrace drive close court place square boulevard crescent gardens parade st ln rd ave dr blvd ter sq ct pl box rue allée chemin impasse quai route cours calle avenida avda plaza paseo camino carretera travesía ronda đường ngõ phố hẻm ngách duong hem ngo pho"
 STREET_TAILS = "aße sse str weg atz lee fer amm"
 
@@ -114,6 +114,13 @@ def _alike() -> tuple[np.ndarray, np.ndarray]:
     return out, gone
 
 
+@cache
+def _spaces() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[c for c in range(0x3001) if regex.match(r"\s", chr(c))]] = True
+    return out
+
+
 @cache
 def _hashes(words: str) -> np.ndarray:
     cps, offs = ta.decode(pa.array(words.split(), pa.string()))
@@ -139,7 +146,10 @@ SIGNS, SPEECH, WRITTEN, NUMBERS, PLACES, NAMES = 1, 2, 4, 8, 16, 32
 
 def suspects(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """For each text which steps may find something there, as a sum of SIGNS to NAMES."""
-    plain = _alike()[0][cps]
+    table, gone = _alike()
+    plain, drop = table[cps], gone[cps]
+    if drop.any():
+        plain, offs = plain[~drop], offs - np.concatenate([[0], np.cumsum(drop)])[offs]
     n = len(offs) - 1
     out = np.zeros(n, np.int64)
     start, end, first = ta.words(plain, offs)
@@ -155,11 +165,23 @@ def suspects(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return np.searchsorted(offs, places, "right") - 1
 
     flag(SIGNS, of(np.flatnonzero(plain == 64)))
-    open_ = (plain == 40) | (plain == 91) | (plain == 123) | (plain == 60)
-    spoken = _among(h, AT_WORDS)
-    flag(SPEECH | SIGNS, text[spoken & (open_[np.maximum(start - 1, 0)] | open_[np.maximum(start - 2, 0)])])
-    dot = _among(h, DOT_WORDS)
-    flag(SPEECH | SIGNS, text[dot & _near(spoken, 6, 0)])
+    # the last character before and the first behind each place that is no space; brackets around at and dot, as signs or words
+    space = _spaces()[plain]
+    place = np.arange(len(plain))
+    last = np.concatenate([[0], np.maximum.accumulate(np.where(space, 0, place))])
+    then = np.append(np.minimum.accumulate(np.where(space, len(plain) - 1, place)[::-1])[::-1], len(plain) - 1)
+    open_ = np.isin(plain, (40, 91, 123, 60))
+    close = np.isin(plain, (41, 93, 125, 62))
+    sign = np.flatnonzero((plain == 64) | (plain == 46))
+    flag(SPEECH | SIGNS, of(sign[open_[last[sign]] & close[then[sign + 1]]]))
+    spoken, dot = _among(h, AT_WORDS), _among(h, DOT_WORDS)
+    inner = open_[last[start]]
+    two = np.zeros(len(h), bool)
+    two[:-1] = inner[:-1] & _among(h, AT_LAST)[1:]
+    flag(SPEECH | SIGNS, text[(spoken | dot) & inner | two])
+    # an at-word, one stretch without spaces, a dot-word
+    stretch = np.cumsum(space & ~np.concatenate([[False], space[:-1]]))[start]
+    flag(SPEECH | SIGNS, text[dot & (_near(spoken, 6, 0) | np.isin(stretch - 2, stretch[spoken]))])
     number = _among(h, " ".join(DIGIT_WORDS))
     five = np.zeros(len(h), bool)
     if len(h) > 4:

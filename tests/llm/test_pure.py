@@ -94,6 +94,26 @@ def test_findings(text, kinds):
     assert [k for k, _, _ in privacy.find(text, int(privacy.suspects(cps, offs)[0]))] == kinds  # the gate loses nothing
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["jo[@]mail.com", "jo@mail[.]com", "jo@mail (dot) com", "jo [a cong] mail.com", "jo ( a còng ) mail.com", "jo {  @  } mail {  .  } com", "jo <   at   > mail.com", "jo at my-own-very-long-mail-host dot com", "jo (a\u200bt) mail.com", "jo@a-b-c-d-e-f-g-h (punkt) de", "(jo＠mail［．］com)"],
+)
+def test_disguised_addresses_pass_the_gate(text):
+    text = f"Write to me: {text}, thanks"
+    cps, offs = ta.decode(pa.array(["No sign here.", text, ""]))
+    steps = privacy.suspects(cps, offs)
+    assert [k for k, _, _ in privacy.find(text, int(steps[1]))] == ["email"] and steps[[0, 2]].tolist() == [0, 0]
+    assert privacy.find(text, int(steps[1])) == privacy.find(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "mail", "com", "a", "at", "AT", "a cong", "a còng", "arroba", "chez", "dot", "Punkt", "point", "@", ".", "(", ")", "[", "]", "<", "}", " ", " ", "  ", "\n", "-", "\u200b", "\xa0", "＠"]), max_size=14))
+def test_the_gate_loses_no_address(parts):
+    text = "jo " + "".join(parts)
+    steps = int(privacy.suspects(*ta.decode(pa.array([text])))[0])
+    assert [f for f in privacy.find(text, steps) if f[0] == "email"] == [f for f in privacy.find(text) if f[0] == "email"]
+
+
 def test_spans_are_those_of_the_source():
     text = "é​crire à jo​.x (at) mail (dot) example, merci"
     ((kind, a, b),) = privacy.find(text)
