@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from filmgrain.llm import abuse, language, leakage, mixing, neighbours, privacy, splitting
+from filmgrain.llm import abuse, language, leakage, mixing, neardup, neighbours, privacy, splitting
 from filmgrain.llm import textarrays as ta
 from filmgrain.llm.runs import whole_runs
 
@@ -230,3 +230,12 @@ def test_runs_are_whole():
         batches = [pa.record_batch({"k": pa.array(keys[i : i + size], pa.int64())}) for i in range(0, 10, size)]
         got = [t.column("k").to_pylist() for t in whole_runs(iter(batches), "k")]
         assert sum(got, []) == keys and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+
+
+def test_pairs_at_the_threshold_meet():
+    rng = np.random.default_rng(3)
+    n, size = 4000, 100  # 75 of 125 shingles in common: J = 0.60
+    both = rng.integers(0, 2**64, (n, 75), np.uint64)
+    (k, s), (m, t) = (neardup.fingerprint(np.concatenate([both, rng.integers(0, 2**64, (n, 25), np.uint64)], 1).ravel(), np.arange(n) * size) for _ in range(2))
+    met = (k == m).any(1) & neardup._near(*(np.ascontiguousarray(x).view(np.int64) for x in (s[:, 0], s[:, 1], t[:, 0], t[:, 1])))
+    assert met.mean() >= 0.9995
