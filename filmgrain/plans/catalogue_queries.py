@@ -86,6 +86,26 @@ def cosine_pairs(spark, sf):
     return V.score_many(rows, "id", "vector", first, 0.25).groupBy("query_id", "id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+#: Query vectors that are held at a time.
+QUERY_BLOCK = 4096
+
+
+@query("SELECT q.vec_id::VARCHAR AS query_id, e.vec_id::VARCHAR AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.25")
+def cosine_pairs_stated(spark, sf):
+    """Every row whose id is divisible by 50 against all rows; cosine_pairs is the small form with ten queries."""
+    rows = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0")
+    blocks, out = max(1, -(-asked.count() // (QUERY_BLOCK * 3 // 4))), None
+    for b in range(blocks):
+        block = {str(r["vec_id"]): list(r["embedding"]) for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toLocalIterator()}
+        if block:
+            part = V.score_many(rows, "vec_id", "embedding", block, 0.25)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id string, id string, score double")
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS score FROM embeddings")
 def cosine_expression(spark, sf):
     rows = S.table(spark, sf, "embeddings")

@@ -176,3 +176,20 @@ def test_every_query_equals_its_sql(spark):
         a, b = queries[name](spark, SF).toPandas(), con.execute(s).fetchdf()
         assert sorted(a.columns) == sorted(b.columns) and norm(a) == norm(b), name
     assert entry.entry(spark).count() >= 0
+
+
+def test_cosine_pairs_take_every_stated_query(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from filmgrain.plans import catalogue_queries
+
+    x = np.random.default_rng(5).standard_normal((1001, 8)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(str(50 * q), str(i)) for q, i in zip(*np.nonzero(x[::50] @ x.T >= 0.25))}
+    assert len({q for q, _ in want}) == 21
+    for size in (4096, 4):  # one block of queries, several
+        monkeypatch.setattr(catalogue_queries, "QUERY_BLOCK", size)
+        got = [(r["query_id"], r["id"]) for r in catalogue_queries.QUERIES["cosine_pairs_stated"](spark, str(tmp_path)).collect()]
+        assert len(got) == len(want) and set(got) == want
