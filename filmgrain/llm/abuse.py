@@ -2,13 +2,14 @@
 
 Fitting (on the driver, at most about SAMPLE labelled texts): words and pairs of neighbouring words get the log-odds of
 abusive text against the whole corpus, whose counts of all words of the labelled cases are taken in one pass over all texts,
-under a Dirichlet prior with the corpus's frequencies, divided by their standard error where that is above one. Labels are of whole texts, so fitting alternates: the best segment of each text labelled as a case is abusive text,
+under a Dirichlet prior with the corpus's frequencies, lowered by their standard error as far as there are few labels. Labels are of whole texts, so fitting alternates: the best segment of each text labelled as a case is abusive text,
 all else isn't. Scores less a drift have a negative mean on clean text, which is what segment statistics need.
 
 Scanning: a linear pass over a text's scores finds every segment of maximal score. The greatest score of a text of n words
-of clean text follows an extreme-value law, P(score > x) = 1 - exp(-K n exp(-L x)); L solves mean(exp(L s)) = 1 over clean scores
-and K is fitted to the greatest scores of clean texts. A segment is significant below PASSAGE_P; a text's severity is the sum
-of -log10 p over its significant segments, and the cut-off is the one with the best F1 over the labels, each scored by a model fitted without it.
+of clean text follows an extreme-value law, P(score > x) = 1 - exp(-K n exp(-L x)); L solves mean(exp(L s)) = 1 over the words of
+BACKGROUND texts of the corpus and K is its maximum likelihood over their greatest scores. A segment is significant below
+PASSAGE_P; a text's severity is the sum of -log10 p over its significant segments, and the cut-off is the one with the best F1
+in the corpus, estimated from labelled cases, each scored by a model fitted without it, and from the flagged share of these texts.
 
 Words are compared after undoing disguises: letter-like digits and signs inside words, stretched letters, letters
 apart by spaces or dots, case and diacritics. Reported offsets are those of the text as it stands.
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 
 SAMPLE, FOLDS, PASSAGE_P, DRIFT, PRIOR = 10_000, 3, 0.01, 1.0, 30.0
+#: Texts of the corpus that the extreme-value law is fitted to, the share of them that may be cases, and the characters beyond which a text is not fitted on (it is scored).
+BACKGROUND, CASES, FIT_CHARS = 4_000, 0.05, 50_000
+#: Standard errors that log-odds are lowered by, of which the folds choose one, and the least cut-off: a clean text reaches it by chance about once in a thousand.
+CAUTION, FLOOR = (0.0, 0.5, 1.0, 1.5), 3.0
 #: Digits and signs that stand for letters.
 LETTERLIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 FAR = 1e4
@@ -56,49 +61,52 @@ def _letterlike() -> np.ndarray:
 
 
 def plain(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points with disguises undone, their offsets, and the place of each in the text as it stands."""
-    c = _fold()[ta.lower(cps)]
+    """Code points with disguises undone, their offsets, and the place of each in the text as it stands.
+
+    A line end stands between two texts while they are read, so that no disguise reaches from one into the next.
+    """
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    own = np.arange(len(cps)) + row
+    c = np.full(len(cps) + len(offs), 10, np.uint32)
+    c[own] = _fold()[ta.lower(cps)]
     word = ta.is_word(c)
     letter = word & ~((c >= 48) & (c <= 57))
-    sign = (c == 64) | (c == 36)
-    inner = word | sign
-    inner[offs[1:-1][offs[1:-1] < len(c)]] &= True
+    inner = word | (c == 64) | (c == 36)
     edge = np.flatnonzero(np.diff(np.pad(inner, 1).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if len(start):
         sums = np.concatenate([[0], np.cumsum(letter)])
         letters = sums[end] - sums[start]
         mixed = (letters > 0) & (letters < end - start) & (2 * letters >= end - start)
-        mark = np.repeat(mixed, end - start)
-        at = np.flatnonzero(inner)[mark]
+        at = np.flatnonzero(inner)[np.repeat(mixed, end - start)]
         c[at] = _letterlike()[c[at]]
         letter[at] = c[at] > 57
-    keep = np.ones(len(c), bool)
-    if len(c) > 6:
-        # letters apart: four or more lone letters with one separator between each two
-        lone = letter.copy()
-        lone[1:] &= ~letter[:-1]
-        lone[:-1] &= ~letter[1:]
-        gap = np.zeros(len(c), bool)
-        gap[1:-1] = lone[:-2] & lone[2:] & ((c[1:-1] == 32) | (c[1:-1] == 46) | (c[1:-1] == 45) | (c[1:-1] == 42))
-        three = gap.copy()
-        three[:-4] = gap[:-4] & gap[2:-2] & gap[4:]
-        three[-4:] = False
-        drop = three.copy()
-        drop[2:] |= three[:-2]
-        drop[4:] |= three[:-4]
-        keep &= ~drop
-        # stretched letters: of three or more equal ones, the first stays
-        same = np.zeros(len(c), bool)
-        same[1:] = (c[1:] == c[:-1]) & letter[1:]
-        twice = np.zeros(len(c), bool)
-        twice[1:] = same[1:] & same[:-1]
-        stretched = twice.copy()
-        stretched[:-1] |= twice[1:]
-        keep &= ~(stretched & same)
-        keep[offs[:-1][offs[:-1] < len(c)]] = True
-    place = np.flatnonzero(keep)
-    return c[place], np.searchsorted(place, offs), place
+    keep = np.zeros(len(c), bool)
+    keep[own] = True
+    # letters apart: four or more lone letters with one separator between each two
+    lone = letter.copy()
+    lone[1:] &= ~letter[:-1]
+    lone[:-1] &= ~letter[1:]
+    gap = np.zeros(len(c), bool)
+    gap[1:-1] = lone[:-2] & lone[2:] & ((c[1:-1] == 32) | (c[1:-1] == 46) | (c[1:-1] == 45) | (c[1:-1] == 42))
+    three = gap.copy()
+    three[:-4] = gap[:-4] & gap[2:-2] & gap[4:]
+    three[-4:] = False
+    drop = three.copy()
+    drop[2:] |= three[:-2]
+    drop[4:] |= three[:-4]
+    keep &= ~drop
+    # stretched letters: of three or more equal ones, the first stays
+    same = np.zeros(len(c), bool)
+    same[1:] = (c[1:] == c[:-1]) & letter[1:]
+    twice = np.zeros(len(c), bool)
+    twice[1:] = same[1:] & same[:-1]
+    stretched = twice.copy()
+    stretched[:-1] |= twice[1:]
+    keep &= ~(stretched & same)
+    kept = np.flatnonzero(keep)
+    whole = keep[own]
+    return c[kept], np.concatenate([[0], np.cumsum(whole)])[offs], np.flatnonzero(whole)
 
 
 class Tokens:
@@ -165,9 +173,9 @@ class Background:
 
 
 class Model:
-    def __init__(self) -> None:
+    def __init__(self, caution: float = 0.0) -> None:
         self.key, self.value = np.empty(0, np.uint64), np.empty(0)
-        self.rate, self.size, self.cutoff = 1.0, 1.0, np.inf
+        self.rate, self.size, self.cutoff, self.caution = 1.0, 1.0, np.inf, caution
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -193,7 +201,7 @@ class Model:
         share = np.maximum(corpus.count, 0.5) / max(corpus.total, 1)
         odds = np.log((y + PRIOR * share) / (n + PRIOR)) - np.log(share)
         error = np.sqrt(1 / (y + 0.3) + 1 / (corpus.count + 0.3))
-        odds /= np.maximum(error, 1)
+        odds = np.sign(odds) * np.maximum(np.abs(odds) - self.caution * error, 0) if self.caution else odds / np.maximum(error, 1)
         some = np.abs(odds) > 0.1
         self.key, self.value = corpus.key[some], np.clip(odds[some], -4, 6)
 
@@ -207,8 +215,8 @@ class Model:
         score[text[order]], lo[text[order]], hi[text[order]] = top[order], a[order], b[order]
         return score, lo, hi
 
-    def fit(self, t: Tokens, case: np.ndarray, corpus: Background, rounds: int = 4) -> None:
-        """case: whether each text is labelled as one."""
+    def fit(self, t: Tokens, case: np.ndarray, corpus: Background, plain_texts: Tokens | None = None, rounds: int = 4) -> None:
+        """case: whether each text is labelled as one; plain_texts: a sample of the whole corpus to calibrate on (else the texts labelled clean)."""
         abusive = case[t.text_of]
         for _ in range(rounds):
             self.learn(t, abusive, corpus)
@@ -218,54 +226,77 @@ class Model:
             np.add.at(step, lo[some], 1)
             np.add.at(step, hi[some] + 1, -1)
             abusive = np.cumsum(step[:-1]) > 0
-        clean = ~case
+        if plain_texts is None:
+            self.calibrate(t, ~case)
+        else:
+            self.calibrate(plain_texts, np.ones(len(plain_texts.first) - 1, bool))
+
+    def calibrate(self, t: Tokens, clean: np.ndarray) -> None:
+        """The extreme-value law of the greatest scores of clean texts; CASES of them, those with the greatest scores, may be cases and are left out."""
+        top, n = self.best(t)[0], np.diff(t.first)
+        clean = clean & (n > 0)
+        if not clean.any() or not len(self.value):
+            return
+        clean &= top <= np.quantile(top[clean], 1 - CASES)
         s = self.scores(t)[clean[t.text_of]]
-        if len(s) and s.max() > 0 and s.mean() < 0:
-            lo_, hi_ = 1e-3, 10.0
-            for _ in range(60):
-                mid = (lo_ + hi_) / 2
-                lo_, hi_ = (mid, hi_) if np.mean(np.exp(mid * np.minimum(s, 50))) < 1 else (lo_, mid)
-            self.rate = lo_
-        n = np.diff(t.first)[clean]
-        if n.sum():
-            # K by the mean of the greatest scores: E[exp(-n K exp(-L x))] = 1/2 at the median
-            low = np.median(np.exp(-self.rate * self.best(t)[0][clean]) * np.maximum(n, 1))
-            self.size = float(np.clip(np.log(2) / max(low, 1e-9), 1e-9, 1e3))
+        # one word more, with the greatest score of all, so that there is a solution where no clean word scores above 0
+        s = np.append(s, self.value.max() - DRIFT if self.value.max() > DRIFT else 1.0)
+        lo_, hi_ = 1e-3, 10.0
+        for _ in range(60):
+            mid = (lo_ + hi_) / 2
+            lo_, hi_ = (mid, hi_) if np.mean(np.exp(np.minimum(mid * s, 500))) < 1 else (lo_, mid)
+        self.rate = lo_
+        # K by maximum likelihood; a greatest score of 0 says that no segment scored above it
+        above = np.count_nonzero(top[clean] > 0)
+        self.size = float((above + 0.5) / np.sum(n[clean] * np.exp(-self.rate * top[clean])))
 
     def p(self, score: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.maximum(-np.expm1(-self.size * n * np.exp(-self.rate * score)), 1e-300)
 
 
-def train(texts: list[str], labels: list[int], count=None) -> Model:
+def train(texts: list[str], labels: list[int], count=None, background: list[str] | None = None) -> Model:
     """A model with its cut-off. Each of FOLDS parts of the texts is scored by a model fitted on the others.
 
     count: gives the corpus's counts of a sorted array of hashes and its number of words; without it the texts are the corpus.
+    background: a sample of the corpus's texts, whatever they are; the labelled texts are richer in cases. Few labels call for more
+    caution, many for little: CAUTION and the cut-off, from FLOOR on, are chosen by the F1 of the corpus, from the share of
+    labelled cases found and the share of the background flagged.
     """
-    model = Model()
     case = np.array(labels, bool)
     if case.sum() < 5 or (~case).sum() < 5:
-        return model
+        return Model()
     fold = np.arange(len(texts)) % FOLDS
-    severity = np.zeros(len(texts))
 
     def tokens(which: np.ndarray) -> Tokens:
         return Tokens(*ta.decode(pa.array([texts[i] for i in np.flatnonzero(which)], pa.string())))
 
     every = tokens(np.ones(len(texts), bool))
+    usual = Tokens(*ta.decode(pa.array(background, pa.string()))) if background else None
     vocabulary = Background.vocabulary(every, case)
     corpus = Background(vocabulary, *(count(vocabulary) if count else (Background.tally(every, vocabulary), len(every.word))))
-    for k in range(FOLDS):
-        part = Model()
-        part.fit(tokens(fold != k), case[fold != k], corpus)
-        severity[fold == k] = severities(part, tokens(fold == k))[0]
-    order = np.argsort(-severity, kind="stable")
-    hits = np.cumsum(case[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + case.sum())
-    f1[severity[order] <= 0] = 0
-    k = int(f1.argmax())
-    below = severity[order[k + 1]] if k + 1 < len(order) else 0.0
-    model.fit(every, case, corpus)
-    model.cutoff = float((severity[order[k]] + below) / 2)
+    parts = [(tokens(fold != k), tokens(fold == k)) for k in range(FOLDS)]
+    tried = []
+    for caution in CAUTION:
+        severity, common = np.zeros(len(texts)), []
+        for k, (known, held) in enumerate(parts):
+            part = Model(caution)
+            part.fit(known, case[fold != k], corpus, usual)
+            severity[fold == k] = severities(part, held)[0]
+            common.append(severities(part, usual)[0] if usual else severity[fold == k])
+        at = np.unique(severity[case & (severity >= FLOOR)])
+        found = 1 - np.searchsorted(np.sort(severity[case]), at) / case.sum()
+        flags = 1 - np.searchsorted(np.sort(np.concatenate(common)), at) / sum(map(len, common))
+        tried.append((caution, at, found, np.maximum(flags, 1 / max(sum(map(len, common)), 1))))
+    # the share of cases in the corpus is at most that of flagged texts over that of found cases, whatever the cut-off
+    share = min((float((flags / found)[found >= 0.3].min()) for _, _, found, flags in tried if (found >= 0.3).any()), default=0.0)
+    best, model = 0.0, Model()
+    for caution, at, found, flags in tried:
+        f1 = 2 * share * found / (flags + share) if share else np.zeros(0)
+        if len(f1) and f1.max() > best:
+            best, model = float(f1.max()), Model(caution)
+            model.cutoff = float(at[f1.argmax()])
+    if best:
+        model.fit(every, case, corpus, usual)
     return model
 
 
@@ -284,8 +315,13 @@ def learn(texts: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
     n = votes.count()
     votes = votes.where(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) < SAMPLE)
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    known = rows.join(F.broadcast(votes), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("vote").alias("vote"))
+    short = rows.where(F.length("text") <= FIT_CHARS)
+    known = short.join(F.broadcast(votes), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("vote").alias("vote"))
     got = known.toArrow().sort_by("id").to_pydict()
+    if len({v > 0.5 for v in got["vote"]}) < 2:
+        return Model()
+    every = max(rows.count(), 1)
+    usual = short.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(every)) < BACKGROUND).select("text").distinct().orderBy(F.xxhash64("text")).limit(2 * BACKGROUND).toArrow()
 
     def count(vocabulary: np.ndarray) -> tuple[np.ndarray, float]:
         """One pass over all texts; what comes back has at most the vocabulary's size, which the sample bounds."""
@@ -295,7 +331,7 @@ def learn(texts: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
         out[at[at >= 0]] = n[at >= 0]
         return out, float(n[at < 0].sum())
 
-    return train(got["text"], [int(v > 0.5) for v in got["vote"]], count)
+    return train(got["text"], [int(v > 0.5) for v in got["vote"]], count, usual.column("text").to_pylist())
 
 
 def _count(vocabulary: np.ndarray):

@@ -239,3 +239,31 @@ def test_pairs_at_the_threshold_meet():
     (k, s), (m, t) = (neardup.fingerprint(np.concatenate([both, rng.integers(0, 2**64, (n, 25), np.uint64)], 1).ravel(), np.arange(n) * size) for _ in range(2))
     met = (k == m).any(1) & neardup._near(*(np.ascontiguousarray(x).view(np.int64) for x in (s[:, 0], s[:, 1], t[:, 0], t[:, 1])))
     assert met.mean() >= 0.9995
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["go t0", "$$$4ll", "a", "b", "s t u p i d", "aaa", "aa", "0", "@", "st00pid", ".", "x y z w"]), max_size=4).map(" ".join), min_size=1, max_size=5))
+def test_a_text_reads_the_same_in_any_batch(texts):
+    c, o, place = abuse.plain(*ta.decode(pa.array(texts)))
+    offs = ta.decode(pa.array(texts))[1]
+    for i, t in enumerate(texts):
+        alone, _, own = abuse.plain(*ta.decode(pa.array([t])))
+        assert c[o[i] : o[i + 1]].tolist() == alone.tolist() and (place[o[i] : o[i + 1]] - offs[i]).tolist() == own.tolist()
+
+
+def test_few_labels_flag_no_large_share():
+    r = random.Random(4)
+    calm = [" ".join(r.choices("score drags quiet dread ending glows slow plot twist camera light scene actor story".split(), k=6)) for _ in range(300)]
+    bad = ["you are a worthless parasite", "shut your filthy mouth you moron", "crawl back to where you came from"]
+
+    def text(case):
+        return ". ".join(r.choices(calm, k=6) + ([r.choice(bad)] if case else []))
+
+    case = [int(i % 4 == 0) for i in range(80)]
+    texts = [text(c) for c in case]
+    case[3] = 1  # a wrong label
+    corpus = [text(i % 40 == 0) for i in range(2000)]
+    every = abuse.Tokens(*ta.decode(pa.array(corpus)))
+    model = abuse.train(texts, case, lambda v: (abuse.Background.tally(every, v), len(every.word)), corpus)
+    flagged = abuse.severities(model, every)[0] >= model.cutoff
+    assert flagged[::40].mean() >= 0.9 and flagged.mean() <= 0.04
