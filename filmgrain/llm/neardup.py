@@ -6,8 +6,9 @@ fewer than 40 symbols share a block by the pigeonhole principle; pairs farther a
 are verified by the Hamming distance of a 128-bit sketch (one bit for each of 128 MinHash values), then by their exact shingle sets.
 
 Exact copies form one class, named by a content hash, before any pair is made. Copies are dropped from each batch before the
-shuffle and while blocks are read, so a group of copies costs a block one entry. Blocks shared by very many different texts
-are cut into chunks whose pairs of chunks are compared by separate tasks: no cap, no lost pair.
+shuffle and while blocks are read, so a group of copies costs a block one entry a batch. Entries travel packed, many to a shuffle
+row. Blocks shared by very many different texts are cut into chunks whose pairs of chunks are compared by separate tasks: no
+cap, no lost pair. Only texts that met another (by a bitmap of fixed size, then by a join) are shuffled for verification.
 
 Defined results: NULL ids and texts with fewer than min_words words take no part; NULL text is an empty text; rows delivered
 again (same id, same text) count once; an id with two different texts is paired with both texts' partners, never with itself;
@@ -31,7 +32,9 @@ BLOCKS, WIDTH, BITS = 40, 3, 128
 #: Sketch bits that must agree. At J = 0.60 the mean is 102.4 of 128, the deviation 4.5, so four pairs in a million are lost; at J = 0.10 they are 70.4 and 5.6.
 AGREE = 81
 #: Different texts in one block beyond which chunks of the block are compared by separate tasks.
-CHUNK = 4096
+CHUNK = 16384
+#: Parts of the blocks' keys for each shuffle partition; bits of the map of classes that have met another.
+PARTS, MARKS = 4, 1 << 26
 #: Members of a class of exact copies that are written out as pairs. Larger classes stand in pairs through their first id.
 EXPAND = 200
 
@@ -51,7 +54,12 @@ def fingerprint(g: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, (bits.reshape(-1, 2, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
-def _blocks(shingle: int, min_words: int):
+ENTRY = np.dtype([("block", "u1"), ("key", "<u4"), ("c", "<i8"), ("s", "<i8"), ("t", "<i8")])
+
+
+def _blocks(shingle: int, min_words: int, parts: int):
+    """Entries of texts in blocks, packed by the part that a block's key belongs to: a shuffle row holds many entries of 29 bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, cps, offs in ta.chunks(batch):
@@ -68,7 +76,16 @@ def _blocks(shingle: int, min_words: int):
                 keep[ok] = True
                 g = g[np.repeat(keep, count)]
                 keys, sketch = fingerprint(g, np.concatenate([[0], np.cumsum(count[ok])[:-1]]))
-                yield pa.record_batch({"key": keys.ravel().view(np.int64), "c": np.repeat(c[ok], BLOCKS), "s": np.repeat(sketch[:, 0], BLOCKS).view(np.int64), "t": np.repeat(sketch[:, 1], BLOCKS).view(np.int64)})
+                entry = np.empty(keys.shape, ENTRY)
+                entry["block"], entry["key"] = np.arange(BLOCKS), keys & np.uint64(0xFFFFFFFF)
+                for name, x in (("c", c[ok]), ("s", sketch[:, 0].view(np.int64)), ("t", sketch[:, 1].view(np.int64))):
+                    entry[name] = x[:, None]
+                to = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32).ravel()
+                order = np.argsort(to, kind="stable")
+                border = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+                data = entry.ravel()[order]
+                blobs = pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer((border * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(data.tobytes())])
+                yield pa.record_batch({"part": to[order][border[:-1]], "blob": blobs})
 
     return run
 
@@ -78,46 +95,75 @@ def _near(s: np.ndarray, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndar
     return np.bitwise_count((s ^ u).view(np.uint64)) + np.bitwise_count((t ^ v).view(np.uint64)) <= BITS - AGREE
 
 
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs with the smaller class first, each once."""
+    pair = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+    pair = np.unique(pair[pair[:, 0] < pair[:, 1]], axis=0)
+    none = pa.nulls(len(pair), pa.int64())
+    return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1], "hot": none, "i": none, "n": none, "blob": pa.nulls(len(pair), pa.binary())})
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes in one block. Blocks beyond CHUNK classes come out as pairs of chunks, to be compared elsewhere."""
-    for run in whole_runs(batches, "key"):
-        key, c, s, t = (column(run, x) for x in ("key", "c", "s", "t"))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
-        key, c, s, t = key[new], c[new], s[new], t[new]
-        border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size = np.diff(border)
-        for at, n in zip(border[:-1][size > CHUNK], size[size > CHUNK]):
-            blobs = [np.stack([x[i : min(i + CHUNK, at + n)] for x in (c, s, t)]).tobytes() for i in range(at, at + n, CHUNK)]
-            for i, x in enumerate(blobs):
-                for j, y in enumerate(blobs[: i + 1]):
-                    yield pa.record_batch({"a": pa.array([i], pa.int64()), "b": pa.array([-j], pa.int64()), "x": pa.array([x], pa.binary()), "y": pa.array([y], pa.binary())})
-        keep = np.repeat((size > 1) & (size <= CHUNK), size)
-        key, c, s, t = key[keep], c[keep], s[keep], t[keep]
-        i, d = np.arange(len(key)), 1
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(i := i[i + d < len(key)]) and len(i := i[key[i + d] == key[i]]):
-            near = i[_near(s[i], t[i], s[i + d], t[i + d])]
-            found.append((c[near], c[near + d]))
-            d += 1
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.record_batch({"a": a, "b": b, "x": pa.nulls(len(a), pa.binary()), "y": pa.nulls(len(a), pa.binary())})
+    """Pairs of classes in one block, and the chunks of blocks of more than CHUNK classes, whose pairs are compared elsewhere."""
+    for run in whole_runs(batches, "part"):
+        part = column(run, "part")
+        border = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        for lo, hi in zip(border[:-1], border[1:]):
+            e = np.frombuffer(b"".join(x.as_py() for x in run.column("blob").slice(lo, hi - lo)), ENTRY)
+            yield from _compare(e, int(part[lo]))
+
+
+def _compare(e: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    key = (e["block"].astype(np.int64) << 32) | e["key"].astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    same[:-1] |= same[1:]  # the others are alone in their blocks
+    order, key = order[same], key[same]
+    c = e["c"][order]
+    by = np.lexsort((c, key))
+    order, key, c = order[by], key[by], c[by]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
+    order, key, c = order[new], key[new], c[new]
+    s, t = e["s"][order], e["t"][order]
+    border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+    size = np.diff(border)
+    for at, n in zip(border[:-1][size > CHUNK], size[size > CHUNK]):
+        hot, chunks = (part << 38) ^ int(key[at]), -(-int(n) // CHUNK)
+        for i in range(chunks):
+            x = slice(at + i * CHUNK, min(at + (i + 1) * CHUNK, at + n))
+            blob = np.stack([c[x], s[x], t[x]]).tobytes()
+            one = {k: pa.array([v], pa.int64()) for k, v in (("a", None), ("b", None), ("hot", hot), ("i", i), ("n", chunks))}
+            yield pa.record_batch(one | {"blob": pa.array([blob], pa.binary())})
+    keep = np.repeat((size > 1) & (size <= CHUNK), size)
+    key, c, s, t = key[keep], c[keep], s[keep], t[keep]
+    i, d = np.arange(len(key)), 1
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(i := i[i + d < len(key)]) and len(i := i[key[i + d] == key[i]]):
+        near = i[_near(s[i], t[i], s[i + d], t[i + d])]
+        a.append(c[near])
+        b.append(c[near + d])
+        d += 1
+        if sum(map(len, a)) > 1_000_000:
+            yield _ordered(np.concatenate(a), np.concatenate(b))
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    yield _ordered(np.concatenate(a), np.concatenate(b))
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares the deferred pairs of chunks; other pairs pass."""
+    """Compares two chunks of a hot block, or one with itself. The rows come sorted by block and pair of chunks."""
+    held = None
     for batch in batches:
-        plain = batch.filter(batch.column("x").is_null())
-        yield pa.record_batch({"a": plain.column("a"), "b": plain.column("b")})
-        rest = batch.filter(batch.column("x").is_valid())
-        for x, y in zip(rest.column("x"), rest.column("y")):
-            (cx, sx, tx), (cy, sy, ty) = (np.frombuffer(v.as_py(), np.int64).reshape(3, -1) for v in (x, y))
+        for hot, i, j, blob in zip(*(batch.column(k).to_pylist() for k in ("hot", "i", "j", "blob"))):
+            if i != j and (held is None or held[:3] != (hot, i, j)):
+                held = hot, i, j, blob
+                continue
+            (cx, sx, tx), (cy, sy, ty) = (np.frombuffer(v, np.int64).reshape(3, -1) for v in (held[3] if i != j else blob, blob))
+            held = None
             for lo in range(0, len(cx), 256):
-                i, j = np.nonzero(_near(sx[lo : lo + 256, None], tx[lo : lo + 256, None], sy, ty))
-                a, b = cx[lo : lo + 256][i], cy[j]
-                lo_, hi_ = np.minimum(a, b), np.maximum(a, b)
-                yield pa.record_batch({"a": lo_[lo_ < hi_], "b": hi_[lo_ < hi_]})
+                p, q = np.nonzero(_near(sx[lo : lo + 256, None], tx[lo : lo + 256, None], sy, ty))
+                yield _ordered(cx[lo : lo + 256][p], cy[q]).select(["a", "b"])
 
 
 def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,21 +197,58 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.xxhash64(F.col(text_col)).alias("c"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
 
 
+def _marked(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = ta.mix(batch.column("c").to_numpy().view(np.uint64)) % np.uint64(MARKS)
+            yield batch.filter(pa.array(bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1 > 0))
+
+    return run
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = pa.array(np.concatenate([[0], *(np.diff(ta.words(cps, offs)[2]) for _, cps, offs in ta.chunks(batch))])[1:].astype(np.int32))
+        yield pa.record_batch({"c": batch.column("c"), "id": batch.column("id"), "words": out})
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = ta.mix(batch.column("c").to_numpy().view(np.uint64)) % np.uint64(MARKS)
+        yield pa.record_batch({"at": (h >> np.uint64(6)).astype(np.int64), "bit": (h & np.uint64(63)).astype(np.int32)})
+
+
+def marked(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose c may be among those of wanted; a bitmap of MARKS bits, whatever the tables' sizes, says so. A join has to follow."""
+    words = wanted.select("c").mapInArrow(_marks, "at long, bit int").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bits = np.zeros(MARKS // 64, np.int64)
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return df.mapInArrow(_marked(bits.view(np.uint8)), df.schema)
+
+
 def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, least: float = 0.8, min_words: int = 1) -> DataFrame:
     """(a, b, similarity): classes of different texts, a < b, whose sets of word shingles have at least this Jaccard similarity."""
+    from ..session import cut
+
     docs = classes(df, id_col, text_col)
-    blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words), "key long, c long, s long, t long")
-    met = blocks.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_meet, "a long, b long, x binary, y binary")
-    pairs = met.repartition("a", "b").mapInArrow(_settle, "a long, b long").distinct()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words, PARTS * n), "part int, blob binary")
+    met = cut(blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, hot long, i long, n long, blob binary"))
+    chunks = met.where("hot IS NOT NULL").repartition("hot", "i").select("hot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), "i", "blob")
+    chunks = chunks.select("hot", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.col("i").alias("own"), "blob")
+    settled = chunks.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j", "own").mapInArrow(_settle, "a long, b long")
+    pairs = cut(met.where("a IS NOT NULL").select("a", "b").unionByName(settled).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    texts = docs.select("c", "text").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
+    texts = marked(docs.select("c", "text"), wanted).join(wanted, "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
     with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
     return with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, least), "a long, b long, similarity double")
 
 
 def membership(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(c, id, n, first): members of classes with at least min_words words, the class's size and its smallest id."""
-    ids = classes(df, id_col, text_col).where(F.length("text") >= 2 * min_words - 1).select("c", "id", F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("words")).where(F.col("words") >= min_words).select("c", "id").distinct()
+    kind = df.schema[id_col].dataType.simpleString()
+    long = classes(df, id_col, text_col).where(F.length("text") >= 2 * min_words - 1)
+    ids = long.mapInArrow(_words_of, f"c long, id {kind}, words int").where(F.col("words") >= min_words).select("c", "id").distinct()
     return ids.join(ids.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first")), "c")
 
 

@@ -55,18 +55,19 @@ def test_near_duplicates(spark, texts, monkeypatch):
     assert neardup.near_duplicate_pairs(df.limit(0), "id", "text").count() == 0
 
 
-def test_hot_blocks_are_compared_in_chunks(spark):
-    import pyarrow as pa
-
-    neardup_chunk, neardup.CHUNK = neardup.CHUNK, 4
-    try:
-        n = 11
-        batch = pa.record_batch({"key": np.zeros(n, np.int64), "c": np.arange(n), "s": np.zeros(n, np.int64), "t": np.zeros(n, np.int64)})
-        met = list(neardup._meet(iter([batch])))
-        pairs = {tuple(p) for b in neardup._settle(iter(met)) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
-        assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n)}
-    finally:
-        neardup.CHUNK = neardup_chunk
+def test_hot_blocks_are_compared_in_chunks(spark, texts, monkeypatch):
+    df = spark.createDataFrame(texts, "id string, text string")
+    want = rows(neardup.similar_classes(df, "id", "text", 3, 0.6, 40), "a", "b", "similarity")
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    e = np.zeros(11, neardup.ENTRY)
+    e["c"] = np.arange(11)
+    out = [b for b in neardup._compare(np.concatenate([e, e]), 3) if b.num_rows]
+    assert [(b.column("i")[0].as_py(), b.column("n")[0].as_py(), len(b.column("blob")[0].as_py()) // 24) for b in out] == [(0, 3, 4), (1, 3, 4), (2, 3, 3)]
+    same = [(f"z{i:02}", texts[0][1] + f" tail{i}") for i in range(30)]  # 31 different texts in most blocks of one another
+    df = spark.createDataFrame(texts + same, "id string, text string")
+    hot = rows(neardup.similar_classes(df, "id", "text", 3, 0.6, 40), "a", "b", "similarity")
+    monkeypatch.undo()
+    assert hot == rows(neardup.similar_classes(df, "id", "text", 3, 0.6, 40), "a", "b", "similarity") and set(want) < set(hot) and len(hot) >= 31 * 30 / 2
 
 
 def spans(docs, least):
