@@ -29,8 +29,8 @@ from .components import components
 from .runs import column, whole_runs
 
 BLOCKS, WIDTH, BITS = 40, 3, 128
-#: Sketch bits that must agree. At J = 0.60 the mean is 102.4 of 128, the deviation 4.5, so four pairs in a million are lost; at J = 0.10 they are 70.4 and 5.6.
-AGREE = 81
+#: Sketch bits that must agree. At J = 0.60 the mean is 102.4 of 128, the deviation 4.5, so six pairs in 100,000 are lost, as many as by the blocks; at J = 0.20 they are 76.8 and 5.1.
+AGREE = 85
 #: Different texts in one block beyond which chunks of the block are compared by separate tasks.
 CHUNK = 16384
 #: Parts of the blocks' keys for each shuffle partition; bits of the map of classes that have met another.
@@ -54,11 +54,11 @@ def fingerprint(g: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, (bits.reshape(-1, 2, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
-ENTRY = np.dtype([("block", "u1"), ("key", "<u4"), ("c", "<i8"), ("s", "<i8"), ("t", "<i8")])
+ENTRY = np.dtype([("key", "<u4"), ("c", "<i8"), ("s", "<i8"), ("t", "<i8")])
 
 
 def _blocks(shingle: int, min_words: int, parts: int):
-    """Entries of texts in blocks, packed by the part that a block's key belongs to: a shuffle row holds many entries of 29 bytes."""
+    """Entries of texts in blocks, packed by the block and the part of its keys: a shuffle row holds many entries of 28 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +77,10 @@ def _blocks(shingle: int, min_words: int, parts: int):
                 g = g[np.repeat(keep, count)]
                 keys, sketch = fingerprint(g, np.concatenate([[0], np.cumsum(count[ok])[:-1]]))
                 entry = np.empty(keys.shape, ENTRY)
-                entry["block"], entry["key"] = np.arange(BLOCKS), keys & np.uint64(0xFFFFFFFF)
+                entry["key"] = keys & np.uint64(0xFFFFFFFF)
                 for name, x in (("c", c[ok]), ("s", sketch[:, 0].view(np.int64)), ("t", sketch[:, 1].view(np.int64))):
                     entry[name] = x[:, None]
-                to = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32).ravel()
+                to = (((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32) + parts * np.arange(BLOCKS, dtype=np.int32)).ravel()
                 order = np.argsort(to, kind="stable")
                 border = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
                 data = entry.ravel()[order]
@@ -114,7 +114,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(e: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-    key = (e["block"].astype(np.int64) << 32) | e["key"].astype(np.int64)
+    key = e["key"]
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = np.concatenate([[False], key[1:] == key[:-1]])
@@ -130,7 +130,7 @@ def _compare(e: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
     border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     size = np.diff(border)
     for at, n in zip(border[:-1][size > CHUNK], size[size > CHUNK]):
-        hot, chunks = (part << 38) ^ int(key[at]), -(-int(n) // CHUNK)
+        hot, chunks = (part << 32) | int(key[at]), -(-int(n) // CHUNK)
         for i in range(chunks):
             x = slice(at + i * CHUNK, min(at + (i + 1) * CHUNK, at + n))
             blob = np.stack([c[x], s[x], t[x]]).tobytes()
@@ -232,7 +232,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 5,
 
     docs = classes(df, id_col, text_col)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words, PARTS * n), "part int, blob binary")
+    blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words, -(-PARTS * n // BLOCKS)), "part int, blob binary")
     met = cut(blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, hot long, i long, n long, blob binary"))
     chunks = met.where("hot IS NOT NULL").repartition("hot", "i").select("hot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), "i", "blob")
     chunks = chunks.select("hot", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.col("i").alias("own"), "blob")
