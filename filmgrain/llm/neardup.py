@@ -31,6 +31,8 @@ from .runs import column, whole_runs
 BLOCKS, WIDTH, BITS = 40, 3, 128
 #: Sketch bits that must agree. At J = 0.60 the mean is 102.4 of 128, the deviation 4.5, so six pairs in 100,000 are lost, as many as by the blocks; at J = 0.20 they are 76.8 and 5.1.
 AGREE = 85
+#: The same for pairs that share one and two blocks. At J = 0.60 those are seven in 10,000 and 0.35 %, so that one in 100,000 is lost by this.
+AGREE_FEW = 92, 90
 #: Different texts in one block beyond which chunks of the block are compared by separate tasks.
 CHUNK = 16384
 #: Parts of the blocks' keys for each shuffle partition; bits of the map of classes that have met another.
@@ -90,17 +92,15 @@ def _blocks(shingle: int, min_words: int, parts: int):
     return run
 
 
-def _near(s: np.ndarray, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Whether the sketches (s, t) and (u, v) are within the Hamming distance."""
-    return np.bitwise_count((s ^ u).view(np.uint64)) + np.bitwise_count((t ^ v).view(np.uint64)) <= BITS - AGREE
+def _agree(s: np.ndarray, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches (s, t) and (u, v) agree."""
+    return BITS - (np.bitwise_count((s ^ u).view(np.uint64)) + np.bitwise_count((t ^ v).view(np.uint64))).astype(np.int16)
 
 
-def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Pairs with the smaller class first, each once."""
-    pair = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-    pair = np.unique(pair[pair[:, 0] < pair[:, 1]], axis=0)
-    none = pa.nulls(len(pair), pa.int64())
-    return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1], "hot": none, "i": none, "n": none, "blob": pa.nulls(len(pair), pa.binary())})
+def _ordered(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> dict[str, np.ndarray]:
+    """Pairs of different classes with the smaller class first."""
+    keep = a != b
+    return {"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "bits": bits[keep]}
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,21 +134,27 @@ def _compare(e: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
         for i in range(chunks):
             x = slice(at + i * CHUNK, min(at + (i + 1) * CHUNK, at + n))
             blob = np.stack([c[x], s[x], t[x]]).tobytes()
-            one = {k: pa.array([v], pa.int64()) for k, v in (("a", None), ("b", None), ("hot", hot), ("i", i), ("n", chunks))}
-            yield pa.record_batch(one | {"blob": pa.array([blob], pa.binary())})
+            one = {k: pa.array([v], pa.int64()) for k, v in (("hot", hot), ("i", i), ("n", chunks))}
+            yield pa.record_batch({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "bits": pa.nulls(1, pa.int16())} | one | {"blob": pa.array([blob], pa.binary())})
     keep = np.repeat((size > 1) & (size <= CHUNK), size)
     key, c, s, t = key[keep], c[keep], s[keep], t[keep]
-    i, d = np.arange(len(key)), 1
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    i, d, found = np.arange(len(key)), 1, []
     while len(i := i[i + d < len(key)]) and len(i := i[key[i + d] == key[i]]):
-        near = i[_near(s[i], t[i], s[i + d], t[i + d])]
-        a.append(c[near])
-        b.append(c[near + d])
+        bits = _agree(s[i], t[i], s[i + d], t[i + d])
+        near = bits >= AGREE
+        found.append((c[i[near]], c[i[near] + d], bits[near]))
         d += 1
-        if sum(map(len, a)) > 1_000_000:
-            yield _ordered(np.concatenate(a), np.concatenate(b))
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    yield _ordered(np.concatenate(a), np.concatenate(b))
+        if sum(len(x) for x, _, _ in found) > 1_000_000:
+            yield _pairs(found)
+            found = []
+    if found:
+        yield _pairs(found)
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pair = _ordered(*(np.concatenate(x) for x in zip(*found)))
+    none = pa.nulls(len(pair["a"]), pa.int64())
+    return pa.record_batch(pair | {"hot": none, "i": none, "n": none, "blob": pa.nulls(len(none), pa.binary())})
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +168,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (cx, sx, tx), (cy, sy, ty) = (np.frombuffer(v, np.int64).reshape(3, -1) for v in (held[3] if i != j else blob, blob))
             held = None
             for lo in range(0, len(cx), 256):
-                p, q = np.nonzero(_near(sx[lo : lo + 256, None], tx[lo : lo + 256, None], sy, ty))
-                yield _ordered(cx[lo : lo + 256][p], cy[q]).select(["a", "b"])
+                bits = _agree(sx[lo : lo + 256, None], tx[lo : lo + 256, None], sy, ty)
+                near = bits >= AGREE
+                if i == j:
+                    near &= np.arange(lo, lo + len(bits))[:, None] < np.arange(len(cy))
+                p, q = np.nonzero(near)
+                yield pa.record_batch(_ordered(cx[lo : lo + 256][p], cy[q], bits[p, q]))
 
 
 def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,29 +243,44 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 5,
     docs = classes(df, id_col, text_col)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words, -(-PARTS * n // BLOCKS)), "part int, blob binary")
-    met = cut(blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, hot long, i long, n long, blob binary"))
+    met = cut(blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, bits smallint, hot long, i long, n long, blob binary"))
     chunks = met.where("hot IS NOT NULL").repartition("hot", "i").select("hot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), "i", "blob")
     chunks = chunks.select("hot", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.col("i").alias("own"), "blob")
-    settled = chunks.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j", "own").mapInArrow(_settle, "a long, b long")
-    pairs = cut(met.where("a IS NOT NULL").select("a", "b").unionByName(settled).distinct())
+    settled = chunks.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j", "own").mapInArrow(_settle, "a long, b long, bits smallint")
+    met = met.where("a IS NOT NULL").select("a", "b", "bits").unionByName(settled).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("bits").alias("bits"))
+    few = F.when(F.col("shared") == 1, AGREE_FEW[0]).when(F.col("shared") == 2, AGREE_FEW[1]).otherwise(AGREE)
+    pairs = cut(met.where(F.col("bits") >= few).select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     texts = marked(docs.select("c", "text"), wanted).join(wanted, "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
     with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
     return with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, least), "a long, b long, similarity double")
 
 
-def membership(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(c, id, n, first): members of classes with at least min_words words, the class's size and its smallest id."""
+def _long(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(c, id, text) of texts that may have min_words words."""
+    return classes(df, id_col, text_col).where(F.length("text") >= 2 * min_words - 1)
+
+
+def membership(df: DataFrame, id_col: str, text_col: str, min_words: int, far: DataFrame) -> DataFrame:
+    """(c, id, n, first): members of classes with at least min_words words, the class's size and its smallest id.
+
+    Only classes of several ids and those in far (a, b) come out.
+    """
     kind = df.schema[id_col].dataType.simpleString()
-    long = classes(df, id_col, text_col).where(F.length("text") >= 2 * min_words - 1)
-    ids = long.mapInArrow(_words_of, f"c long, id {kind}, words int").where(F.col("words") >= min_words).select("c", "id").distinct()
+    rows = _long(df, id_col, text_col, min_words)
+    several = rows.groupBy("c").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("c")
+    wanted = several.unionByName(far.select(F.explode(F.array("a", "b")).alias("c"))).distinct()
+    ids = marked(rows, wanted).mapInArrow(_words_of, f"c long, id {kind}, words int").where(F.col("words") >= min_words).select("c", "id").distinct()
+    ids = ids.join(wanted, "c", "left_semi")
     return ids.join(ids.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first")), "c")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, least: float = 0.8, min_words: int = 1, expand: int = EXPAND) -> DataFrame:
     """(id_a, id_b, similarity) with id_a < id_b. Classes of more than expand exact copies stand in for their members by their first id."""
-    far = similar_classes(df, id_col, text_col, shingle, least, min_words)
-    members = membership(df, id_col, text_col, min_words)
+    from ..session import cut
+
+    far = cut(similar_classes(df, id_col, text_col, shingle, least, min_words))
+    members = membership(df, id_col, text_col, min_words, far)
     shown = members.where((F.col("n") <= expand) | (F.col("id") == F.col("first"))).select("c", "id")
     across = far.join(shown.select(F.col("c").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("c").alias("b"), F.col("id").alias("y")), "b")
     copies = members.where("n > 1")
@@ -275,7 +300,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, shingle: in
     from ..session import cut
 
     far = cut(similar_classes(df, id_col, text_col, shingle, least, min_words).select("a", "b"))
-    members = membership(df, id_col, text_col, min_words).select("c", "id")
+    members = membership(df, id_col, text_col, min_words, far).select("c", "id")
     ids = cut(members.groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("cs")).select("id", F.xxhash64("cs").alias("k"), "cs"))
     kinds = cut(ids.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("cs").alias("cs")))
     of = kinds.select("k", "n", "first", F.explode("cs").alias("c"))
