@@ -266,10 +266,12 @@ def membership(df: DataFrame, id_col: str, text_col: str, min_words: int, far: D
 
     Only classes of several ids and those in far (a, b) come out.
     """
+    from ..session import cut
+
     kind = df.schema[id_col].dataType.simpleString()
     rows = _long(df, id_col, text_col, min_words)
     several = rows.groupBy("c").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("c")
-    wanted = several.unionByName(far.select(F.explode(F.array("a", "b")).alias("c"))).distinct()
+    wanted = cut(several.unionByName(far.select(F.explode(F.array("a", "b")).alias("c"))).distinct())
     ids = marked(rows, wanted).mapInArrow(_words_of, f"c long, id {kind}, words int").where(F.col("words") >= min_words).select("c", "id").distinct()
     ids = ids.join(wanted, "c", "left_semi")
     return ids.join(ids.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first")), "c")
