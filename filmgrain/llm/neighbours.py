@@ -1,14 +1,15 @@
 """Problem 2: the k most similar vectors of every vector, through a forest of random-projection trees.
 
-Fitting: on a sample of at most about SAMPLE vectors the driver grows TREES trees; a node parts its vectors by the hyperplane
-between the centres of a few steps of two-means from two random vectors. The forest (hyperplanes only) has a size bounded by the
-sample and is what tasks get. Indexing: every vector is put into its leaf of every tree. Searching: a vector's leaves in all
-trees are ranked in one queue, its home leaves first, then by the mean cosine that the leaf's fitted vectors have with it (the least
-margin on the way, the usual order, needs twice the visits for the same recall); the first PROBES are visited.
-Vectors meet by a shuffle on leaves; within a leaf the candidates are ranked exactly, by cosine of vectors that travel as
-16-bit integers with a scale of their own (error of a cosine below 1e-5).
-
-Leaves have about 1/32 of the vectors, at least 1,000 and at most 14,000. Beyond 450,000 vectors there are more leaves instead,
+Fitting: on a sample of at most about SAMPLE different vectors the driver grows TREES trees; a node parts its vectors by the
+hyperplane between the centres of a few steps of two-means from two random vectors. The forest (hyperplanes and leaf means) has
+a size bounded by the sample and is what tasks get. Indexing: every vector is put into its leaf of every tree. Searching: all leaves
+of all trees stand in one queue: a vector's home leaves, then MARGIN leaves by the least margin on the way to them (the usual
+order, which finds near copies across a hyperplane), then by the mean cosine of the leaf's fitted vectors, as at equal work
+margins alone find less of the ten nearest; the first PROBES are visited.
+Vectors meet by a shuffle on leaves, many packed into a row; within a leaf the candidates are ranked by cosine of vectors that
+travel as 16-bit integers with a scale of their own (error of a cosine below 1e-5).
+
+Leaves have about 1/32 of the vectors, at least 64 and at most 14,000. Beyond 450,000 vectors there are more leaves instead,
 and probes grow with them, so that the searched share of the vectors, and with it recall, holds at every size; work per vector
 grows likewise. A leaf's queries are then parted among several tasks, each with all of the
 leaf's items, so memory per task does not grow.
@@ -29,12 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textarrays as ta
 from .runs import column, whole_runs
 
-SAMPLE, TREES, PROBES, STARTS = 8192, 3, 7, 6
-SHARE, LEAST_LEAF, MOST_LEAF = 32, 1000, 14000
-#: Rows in a batch of placed vectors.
-ROWS = 32768
+SAMPLE, TREES, PROBES, MARGIN, STARTS = 8192, 2, 6, 1, 6
+SHARE, LEAST_LEAF, MOST_LEAF = 32, 64, 14000
+#: Vectors that are placed at a time, and parts of the queries for each shuffle partition.
+ROWS, PARTS = 8192, 4
 
 
 def sizes(n: int, probes: int) -> tuple[int, int, int]:
@@ -125,12 +127,16 @@ class Forest:
 
     def route(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         """Home leaf in each tree, and whether each leaf is among the first probes of the shared queue (vectors x leaves)."""
-        home = self.homes(x)
+        margin = np.concatenate([t.priorities(x) for t in self.trees]).T
+        row = np.arange(len(x))
+        home = np.stack([margin[:, a:b].argmax(1) + a for a, b in zip(self.first[:-1], self.first[1:])], 1)
         queue = x @ self.mean.T
-        queue[np.arange(len(x))[:, None], home] = np.inf
-        visit = np.zeros(queue.shape, bool)
         probes = min(max(probes, len(self.trees)), queue.shape[1])
-        visit[np.arange(len(x))[:, None], np.argpartition(-queue, probes - 1, axis=1)[:, :probes]] = True
+        for leaf in [*home.T, *[None] * min(MARGIN, probes - len(self.trees))]:
+            leaf = margin.argmax(1) if leaf is None else leaf
+            queue[row, leaf], margin[row, leaf] = np.inf, -np.inf
+        visit = np.zeros(queue.shape, bool)
+        visit[row[:, None], np.argpartition(-queue, probes - 1, axis=1)[:, :probes]] = True
         return home, visit
 
 
@@ -144,23 +150,46 @@ def vectors(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
         return row[ok], (x[ok] / size[ok, None]).astype(np.float32)
 
 
-def to_bytes(x: np.ndarray) -> pa.Array:
+def entries(dim: int) -> np.dtype:
+    """What travels of a vector: its class, what it is in the leaf (1 item, 2 query, 4 reports itself), and its values."""
+    return np.dtype([("v", "<i8"), ("part", "u1"), ("scale", "<f4"), ("x", "<i2", dim)])
+
+
+def packed(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x), entries(x.shape[1]))
     scale = np.abs(x).max(1, initial=1e-30) / 32767
-    both = np.concatenate([np.rint(x / scale[:, None]).astype(np.int16).view(np.uint8), scale.astype(np.float32)[:, None].view(np.uint8)], 1)
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * both.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(both))])
+    out["v"], out["scale"], out["x"] = v, scale, np.rint(x / scale[:, None])
+    return out
 
 
-def from_bytes(col: pa.ChunkedArray, dim: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(x.as_py() for x in col), np.uint8).reshape(-1, 2 * dim + 4)
-    x = np.ascontiguousarray(raw[:, : 2 * dim]).view(np.int16) * np.ascontiguousarray(raw[:, 2 * dim :]).view(np.float32)
+def unpacked(e: np.ndarray) -> np.ndarray:
+    x = e["x"] * e["scale"][:, None]
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def grouped(key: np.ndarray, e: np.ndarray, name: str) -> pa.RecordBatch:
+    """Entries packed into one row for each key."""
+    order = np.argsort(key, kind="stable")
+    key, data = key[order], np.ascontiguousarray(e[order])
+    border = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(border) - 1, [None, pa.py_buffer((border * e.dtype.itemsize).astype(np.int64)), pa.py_buffer(data.view(np.uint8))])
+    return pa.record_batch({name: pa.array(key[border[:-1]], pa.int32()), "blob": blobs.cast(pa.binary())})
+
+
+def ungrouped(batches: Iterator[pa.RecordBatch], name: str, dtype: np.dtype) -> Iterator[np.ndarray]:
+    """The entries of each key, from rows sorted by it."""
+    for t in whole_runs(batches, name):
+        at = column(t, name)
+        border = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+        for lo, hi in zip(border[:-1], border[1:]):
+            yield np.frombuffer(b"".join(x.as_py() for x in t.column("blob").slice(lo, hi - lo)), dtype)
+
+
 def _place(forest: Forest, dim: int, probes: int, chunks: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
                 row, x = vectors(batch.column("vector"), dim)
                 v, once = np.unique(batch.column("v").to_numpy()[row], return_index=True)
                 if not len(v):
@@ -178,50 +207,93 @@ def _place(forest: Forest, dim: int, probes: int, chunks: int = 1):
                     other = np.repeat(chunk[own], chunks - 1) + np.tile(np.arange(1, chunks), len(own))
                     i, leaf = np.append(i, np.repeat(i[own], chunks - 1)), np.append(leaf, np.repeat(leaf[own], chunks - 1))
                     what, chunk = np.append(what, np.ones(len(other), np.int8)), np.append(chunk, other % chunks)
-                key, data = (leaf * chunks + chunk).astype(np.int32), to_bytes(x)
-                for at in range(0, len(i), ROWS):
-                    some = slice(at, at + ROWS)
-                    yield pa.record_batch({"leaf": key[some], "v": v[i[some]], "part": what[some], "x": data.take(pa.array(i[some]))})
+                key, data = leaf * chunks + chunk, packed(v, x)
+                for at in range(0, len(i), 4 * ROWS):
+                    e = data[i[at : at + 4 * ROWS]]
+                    e["part"] = what[at : at + 4 * ROWS]
+                    yield grouped(key[at : at + 4 * ROWS], e, "leaf")
 
     return run
 
 
+def _leaf(e: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query class, item class and similarity of the best k items for each query of a leaf, queries in order."""
+    v, once, at = np.unique(e["v"], return_index=True, return_inverse=True)
+    part = np.zeros(len(v), np.uint8)
+    np.bitwise_or.at(part, at, e["part"])
+    x = unpacked(e[once])
+    items, queries = np.flatnonzero(part & 1), np.flatnonzero(part & 2)
+    first = v[part & 4 > 0]
+    if len(first):
+        yield first, first, np.ones(len(first), np.float32)
+    y = np.ascontiguousarray(x[items].T)
+    for lo in range(0, len(queries), 512):
+        q = queries[lo : lo + 512]
+        s = x[q] @ y
+        s[v[items] == v[q][:, None]] = -2
+        if least > -1:
+            i, j = np.nonzero(s >= least)
+            if len(i) > k * len(q):
+                order = np.lexsort((-s[i, j], i))
+                i, j = i[order], j[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[rank < k], j[rank < k]
+        else:
+            m = min(k, s.shape[1])
+            j = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel() if m else np.empty(0, np.int64)
+            i = np.repeat(np.arange(len(q)), m)
+            real = s[i, j] > -2
+            i, j = i[real], j[real]
+        yield v[q[i]], v[items[j]], s[i, j].astype(np.float32)
+
+
 def _rank(dim: int, k: int, least: float):
-    def leaf(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        v, once = np.unique(column(t, "v"), return_index=True)
-        part = np.zeros(len(v), np.int8)
-        np.bitwise_or.at(part, np.searchsorted(v, column(t, "v")), column(t, "part"))
-        x = from_bytes(t.column("x").take(pa.array(once)), dim)
-        items, queries = np.flatnonzero(part & 1), np.flatnonzero(part & 2)
-        first = v[part & 4 > 0]
-        if len(first):
-            yield pa.record_batch({"q": first, "n": first, "similarity": np.ones(len(first), np.float32)})
-        y = np.ascontiguousarray(x[items].T)
-        for lo in range(0, len(queries), 512):
-            q = queries[lo : lo + 512]
-            s = x[q] @ y
-            s[v[items] == v[q][:, None]] = -2
-            if least > -1:
-                i, j = np.nonzero(s >= least)
-                if len(i) > k * len(q):
-                    order = np.lexsort((-s[i, j], i))
-                    i, j = i[order], j[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j = i[rank < k], j[rank < k]
-            else:
-                m = min(k, s.shape[1])
-                j = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel() if m else np.empty(0, np.int64)
-                i = np.repeat(np.arange(len(q)), m)
-                real = s[i, j] > -2
-                i, j = i[real], j[real]
-            yield pa.record_batch({"q": v[q[i]], "n": v[items[j]], "similarity": s[i, j].astype(np.float32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in ungrouped(batches, "leaf", entries(dim)):
+            for q, n, s in _leaf(e, k, least):
+                yield pa.record_batch({"q": q, "n": n, "similarity": s})
+
+    return run
+
+
+def found(k: int) -> np.dtype:
+    """The best k of a query in one leaf; unused places have the similarity -2."""
+    return np.dtype([("q", "<i8"), ("n", "<i8", k), ("s", "<f4", k)])
+
+
+def _rank_packed(dim: int, k: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in ungrouped(batches, "leaf", entries(dim)):
+            for q, n, s in _leaf(e, k, -1.0):
+                if not len(q):
+                    continue
+                new = np.flatnonzero(np.diff(q, prepend=q[0] ^ 1) != 0)
+                own = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(q))))
+                out = np.zeros(len(new), found(k))
+                out["q"], out["s"] = q[new], -2
+                out["n"][own, np.arange(len(q)) - new[own]] = n
+                out["s"][own, np.arange(len(q)) - new[own]] = s
+                yield grouped((ta.mix(out["q"].view(np.uint64)) % np.uint64(parts)).astype(np.int64), out, "share")
+
+    return run
+
+
+def _best(k: int):
+    """The k + 1 best classes of each query, itself among them, from those of its leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, "leaf"):
-            at = column(t, "leaf")
-            border = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            for lo, hi in zip(border[:-1], border[1:]):
-                yield from leaf(t.slice(lo, hi - lo))
+        for e in ungrouped(batches, "share", found(k)):
+            q, n, s = np.repeat(e["q"], k), e["n"].ravel(), e["s"].ravel()
+            q, n, s = q[s > -2], n[s > -2], s[s > -2]
+            order = np.lexsort((-s, n, q))
+            q, n, s = q[order], n[order], s[order]
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1]) | (n[1:] != n[:-1])
+            q, n, s = q[new], n[new], s[new]
+            order = np.lexsort((n, -s, q))
+            q, n, s = q[order], n[order], s[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) <= k
+            yield pa.record_batch({"q": q[keep], "n": n[keep], "similarity": s[keep]})
 
     return run
 
@@ -235,17 +307,19 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: in
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
     n = rows.count()
     leaf, probes, chunks = sizes(n, probes)
-    sample = rows.where(F.pmod(F.xxhash64("vector"), F.lit(max(n, 1))) < SAMPLE).select("vector").toArrow()
+    # each different vector is drawn or not, so that copies neither count nor travel
+    sample = rows.where(F.pmod(F.xxhash64("vector"), F.lit(max(n, 1))) < SAMPLE).select("vector").distinct().toArrow()
     x = vectors(sample.column("vector").combine_chunks(), dim)[1] if sample.num_rows else np.zeros((0, dim), np.float32)
-    forest = Forest(np.unique(x, axis=0), leaf * len(x) // max(n, 1), trees) if len(x) > 1 else Forest(np.zeros((1, dim), np.float32), 2, 1)
+    forest = Forest(np.unique(x, axis=0), max(2, min(leaf * SAMPLE // max(n, SAMPLE), len(x))), trees) if len(x) > 1 else Forest(np.zeros((1, dim), np.float32), 2, 1)
     hashed = rows.select("id", F.xxhash64("vector").alias("v"), "vector")
-    placed = hashed.select("v", "vector").mapInArrow(_place(forest, dim, probes, chunks), "leaf int, v long, part tinyint, x binary")
-    near = placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_rank(dim, k, least), "q long, n long, similarity float")
+    placed = hashed.select("v", "vector").mapInArrow(_place(forest, dim, probes, chunks), "leaf int, blob binary")
+    leaves = placed.repartition("leaf").sortWithinPartitions("leaf")
     if least <= -1:
-        best = Window.partitionBy("q").orderBy(F.desc("similarity"), "n")
-        near = near.groupBy("q", "n").agg(F.max("similarity").alias("similarity")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+        parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        near = leaves.mapInArrow(_rank_packed(dim, k, parts), "share int, blob binary").repartition("share").sortWithinPartitions("share")
+        near = near.mapInArrow(_best(k), "q long, n long, similarity float")
     else:
-        near = near.groupBy("q", "n").agg(F.max("similarity").alias("similarity"))
+        near = leaves.mapInArrow(_rank(dim, k, least), "q long, n long, similarity float").groupBy("q", "n").agg(F.max("similarity").alias("similarity"))
     ids = hashed.select("v", "id").distinct()
     first = ids.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("v").alias("n"), F.col("id").alias("neighbour"))
     pairs = near.join(first, "n").join(ids.withColumnRenamed("v", "q"), "q").where("id <> neighbour").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
