@@ -35,8 +35,8 @@ from .runs import column, whole_runs
 
 SAMPLE, TREES, PROBES, MARGIN, STARTS = 8192, 2, 6, 1, 6
 SHARE, LEAST_LEAF, MOST_LEAF = 32, 64, 14000
-#: Vectors that are placed at a time, and parts of the queries for each shuffle partition.
-ROWS, PARTS = 8192, 4
+#: Vectors that are placed at a time, parts of the queries for each shuffle partition, and tasks beyond which leaves share one.
+ROWS, PARTS, MOST_TASKS = 8192, 4, 20_000
 
 
 def sizes(n: int, probes: int) -> tuple[int, int, int]:
@@ -313,7 +313,8 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: in
     forest = Forest(np.unique(x, axis=0), max(2, min(leaf * SAMPLE // max(n, SAMPLE), len(x))), trees) if len(x) > 1 else Forest(np.zeros((1, dim), np.float32), 2, 1)
     hashed = rows.select("id", F.xxhash64("vector").alias("v"), "vector")
     placed = hashed.select("v", "vector").mapInArrow(_place(forest, dim, probes, chunks), "leaf int, blob binary")
-    leaves = placed.repartition("leaf").sortWithinPartitions("leaf")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(forest.first[-1]) * chunks, MOST_TASKS))
+    leaves = placed.repartition(tasks, "leaf").sortWithinPartitions("leaf")
     if least <= -1:
         parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         near = leaves.mapInArrow(_rank_packed(dim, k, parts), "share int, blob binary").repartition("share").sortWithinPartitions("share")
@@ -322,7 +323,7 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: in
         near = leaves.mapInArrow(_rank(dim, k, least), "q long, n long, similarity float").groupBy("q", "n").agg(F.max("similarity").alias("similarity"))
     ids = hashed.select("v", "id").distinct()
     first = ids.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("v").alias("n"), F.col("id").alias("neighbour"))
-    pairs = near.join(first, "n").join(ids.withColumnRenamed("v", "q"), "q").where("id <> neighbour").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    pairs = near.join(first, "n").join(ids.withColumnRenamed("v", "q"), "q").where("id <> neighbour").select("id", "neighbour", "similarity").repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "neighbour", F.col("similarity").cast("double").alias("similarity"), "rank")
 
