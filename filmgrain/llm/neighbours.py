@@ -35,8 +35,8 @@ from .runs import column, whole_runs
 
 SAMPLE, TREES, PROBES, MARGIN, STARTS = 8192, 2, 6, 1, 6
 SHARE, LEAST_LEAF, MOST_LEAF = 32, 64, 14000
-#: Vectors that are placed at a time, parts of the queries for each shuffle partition, and tasks beyond which leaves share one.
-ROWS, PARTS, MOST_TASKS = 8192, 4, 20_000
+#: Vectors that are placed at a time, parts of the queries for each shuffle partition, and tasks for each shuffle partition beyond which leaves share one.
+ROWS, PARTS, MOST_TASKS = 8192, 4, 8
 
 
 def sizes(n: int, probes: int) -> tuple[int, int, int]:
@@ -313,7 +313,8 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: in
     forest = Forest(np.unique(x, axis=0), max(2, min(leaf * SAMPLE // max(n, SAMPLE), len(x))), trees) if len(x) > 1 else Forest(np.zeros((1, dim), np.float32), 2, 1)
     hashed = rows.select("id", F.xxhash64("vector").alias("v"), "vector")
     placed = hashed.select("v", "vector").mapInArrow(_place(forest, dim, probes, chunks), "leaf int, blob binary")
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(forest.first[-1]) * chunks, MOST_TASKS))
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(n_tasks, min(int(forest.first[-1]) * chunks, MOST_TASKS * n_tasks))
     leaves = placed.repartition(tasks, "leaf").sortWithinPartitions("leaf")
     if least <= -1:
         parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

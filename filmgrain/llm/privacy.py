@@ -74,8 +74,14 @@ ADDRESS = regex.compile(
 WORD = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
 FULL = rf"(?:{WORD}(?:\s(?:\p{{Lu}}\.\s)?{WORD}){{1,3}}|{WORD},\s{WORD})"
 NAME_AFTER = regex.compile(rf"(?i:\b(?:{RELATIVES}|{SIGNED})(?![\p{{L}}])(?:\s+(?:là|is|was|named|called|namens|llamad[oa]))?[,:]?\s+{TITLE}(?:tôi là\s+)?)({FULL})(?![\p{{L}}])")
-NAME_BEFORE = regex.compile(rf"(?<![\p{{L}}'’-])({FULL})\s*,?\s+(?i:{HERE})")
-NAME_DASH = regex.compile(rf"(?:(?<=[\s.!?>])|^)(?:-|—|--|~)\s?({FULL})(?=\s*(?:[.!]|$|<))|(?<=[^\s][ \t])(?:-|—|--|~)\s?({WORD}\s{WORD})(?=\s\p{{Lu}}\p{{Ll}})", regex.M)
+NAME_BEFORE = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])({FULL})\s*,?\s+(?i:{HERE})")
+#: Words that begin a title or a sentence, not a name.
+ARTICLE = r"(?:the|a|an|this|that|what|how|der|die|das|ein|eine|el|la|los|las|un|una|le|les|une|des|một|những|các)"
+NAME_DASH = regex.compile(
+    rf"(?:(?<=[\s.!?>])|^)(?:-|—|--|~)\s?(?i:{TITLE})({FULL})(?=\s*(?:[.!]|$|<))"
+    rf"|(?:(?<=[^\s][ \t])|^)(?:-|—|--|~)\s?(?i:{TITLE})(?!(?i:{ARTICLE})\s)({WORD}(?:\s\p{{Lu}}\.)?\s{WORD})(?=\s\p{{Lu}}\p{{Ll}})",
+    regex.M,
+)
 AT = regex.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba|a còng|a cong)\s*[\])}>]\s*", regex.I)
 DOT = regex.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point|chấm|cham)\s*[\])}>]\s*", regex.I)
 SPOKEN = regex.compile(r"(?<=[\p{L}\p{N}])\s+(?:at|ät|arroba|chez|a còng|a cong)\s+([\p{L}\p{N}-]+(?:\s+(?:dot|punkt|punto|point|chấm|cham)\s+[\p{L}\p{N}-]+)+)", regex.I)
@@ -83,12 +89,41 @@ SPOKEN_DOT = regex.compile(r"\s+(?:dot|punkt|punto|point|chấm|cham)\s+", regex
 DIGITS = regex.compile(r"(?<![\p{L}\p{N}])(?:(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?:[\s,.-]{1,3}|(?![\p{L}\p{N}]))){5,}", regex.I)
 DIGIT_WORD = regex.compile("|".join(sorted(DIGIT_WORDS, key=len, reverse=True)), regex.I)
 CUES = regex.compile(rf"(?<![\p{{L}}])(?:(?P<phone>{PHONE_CUE})|(?P<id>{ID_CUE})|(?P<other>{OTHER_CUE}))(?![\p{{L}}])", regex.I)
-#: Words of which one must be in a text for a name to be found, beside a dash before a capital letter.
-NAME_WORDS = (
-    "cousin cousins neighbour neighbor neighbours neighbors teacher brother sister friend colleague boss uncle aunt nephew niece classmate flatmate roommate husband wife mother father dad mum mom son daughter coworker worker landlord landlady mate buddy partner girlfriend boyfriend grandmother grandfather tutor dentist doctor "
-    "cousine nachbar nachbarin lehrer lehrerin bruder schwester freund freundin kollege kollegin kollegen onkel tante mann frau mitbewohner mitbewohnerin primo prima vecino vecina profesor profesora hermano hermana amigo amiga compañero compañera tío tía jefe jefa esposo esposa marido "
-    "voisin voisine frère sœur soeur ami amie collègue oncle patron patronne professeur professeure prof mari femme xóm họ giáo bạn nghiệp signed behalf posted written sent yours regards cheers wishes sincerely name called thanks gezeichnet gez namen heiße grüße danke firmado fdo nombre llamo gracias saludos signé nom appelle merci viết ký đăng tên cảm nguoi here hier aquí ici đây from"
-).split()
+
+
+def spellings(pattern: str) -> list[str]:
+    """All texts that a pattern without unbounded parts matches, in lower case; a run of spaces counts as one."""
+
+    def of(parsed) -> list[str]:
+        out = [""]
+        for op, arg in parsed:
+            match str(op):
+                case "LITERAL":
+                    every = [chr(arg)]
+                case "IN":
+                    every = [chr(x) if str(o) == "LITERAL" else " " for o, x in arg]
+                case "SUBPATTERN":
+                    every = of(arg[3])
+                case "BRANCH":
+                    every = [x for part in arg[1] for x in of(part)]
+                case "MAX_REPEAT":
+                    once = of(arg[2])
+                    every = ([""] if arg[0] == 0 else []) + once
+                case "AT":
+                    every = [""]
+                case _:
+                    raise ValueError(f"{op} in {pattern}")
+            out = [x + y for x in out for y in every]
+        return out
+
+    return [x.lower() for x in of(re._parser.parse(pattern))]
+
+
+@cache
+def _name_words() -> str:
+    """The last words of all cues before a name, and the first of those behind one: a name's cue has one of them."""
+    before = {re.findall(r"[^\W_]+", x)[-1] for p in (RELATIVES, SIGNED) for x in spellings(p)}
+    return " ".join(sorted(before | {re.findall(r"[^\W_]+", x)[0] for x in spellings(HERE)}))
 
 
 #: Words and word ends that let a text through the gate.
@@ -191,7 +226,7 @@ def suspects(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(digit)])
     reach = np.minimum(np.arange(len(plain)) + 26, len(plain))
     flag(NUMBERS, of(np.flatnonzero(digit & (total[reach] - total[:-1] >= 6))))
-    figure = digit[start]
+    figure = digit[start] | (number & np.isin(text, text[five]))
     tail = ta.span_hash(ta.prefix(ta.lower(plain)), np.maximum(end - 3, start), end)
     flag(PLACES, text[_among(h, STREET_WORDS) & _near(figure, 8, 7)])
     flag(PLACES, text[_among(tail, STREET_TAILS) & _near(figure, 0, 1)])
@@ -199,7 +234,7 @@ def suspects(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     capital = upper[start]
     pair = np.zeros(len(h), bool)
     pair[:-1] = capital[:-1] & capital[1:] & (start[1:] - end[:-1] <= 3)
-    flag(NAMES, text[_among(h, " ".join(NAME_WORDS)) & _near(pair, 5, 7)])
+    flag(NAMES, text[_among(h, _name_words()) & _near(pair, 5, 7)])
     dash = (plain == 45) | (plain == 0x2014) | (plain == 126)
     flag(NAMES, text[pair & (dash[np.maximum(start - 1, 0)] | dash[np.maximum(start - 2, 0)])])
     return out
@@ -250,12 +285,21 @@ def _written(m) -> str:
     return out + (" " if m.group()[-1].isspace() else "")
 
 
-def _number_kind(text: str, m) -> str | None:
+def _number(text: str, m) -> tuple[str, int, int] | None:
+    """What a number is and where, if it is of a kind sought. Letters before it that are a cue word are no part of it."""
+    begin, head = m.start(), re.match(r"[A-Z]+(?=[ -])", m.group())
+    if head and any(c.end() == begin + head.end() for c in CUES.finditer(text, max(0, begin - 30), begin + head.end())):
+        begin += head.end() + 1
+    kind = _number_kind(text, begin, m.end())
+    return (kind, begin + (text[begin] == "(" and text.count("(", begin, m.end()) > text.count(")", begin, m.end())), m.end()) if kind else None
+
+
+def _number_kind(text: str, begin: int, end: int) -> str | None:
     """What a number is, by the nearest cue before it (within 60 characters, not behind another number) and its shape."""
-    shape = m.group()
+    shape = text[begin:end]
     digits = re.sub(r"\D", "", shape)
     letter = shape[0].isalpha() or shape[-1].isalpha()
-    before = text[max(0, m.start() - 60) : m.start()]
+    before = text[max(0, begin - 60) : begin]
     if (cut := re.search(r"\d{5}(?!.*\d{5})", before, re.S)) is not None:
         before = before[cut.end() :]
     cue = None
@@ -264,7 +308,7 @@ def _number_kind(text: str, m) -> str | None:
     if cue == "id" and len(digits) >= 6:
         return "id_number"
     if cue == "other" or letter:
-        return "id_number" if letter and len(digits) >= 6 and re.match(r"[\s,:(]*(?:is|was)?\s*(?:my|as)?\s*" + ID_CUE, text[m.end() : m.end() + 30], re.I) else None
+        return "id_number" if letter and len(digits) >= 6 and re.match(r"[\s,:(]*(?:is|was)?\s*(?:my|as)?\s*" + ID_CUE, text[end : end + 30], re.I) else None
     n = len(digits)
     if shape.startswith(("+", "(+")) and 8 <= n <= 15:
         return "phone"
@@ -293,7 +337,7 @@ def find(text: str, steps: int = 63) -> list[tuple[str, int, int]]:
     if steps & SIGNS:
         got += [("email", m.start(), m.end()) for m in EMAIL.finditer(s)]
     if steps & NUMBERS:
-        got += [(kind, m.start() + (m.group()[0] == "(" and m.group().count("(") > m.group().count(")")), m.end()) for m in NUMBER.finditer(s) if (kind := _number_kind(s, m))]
+        got += [x for m in NUMBER.finditer(s) if (x := _number(s, m))]
     if steps & PLACES:
         got += [("address", m.start(), m.end()) for m in ADDRESS.finditer(s)]
     if steps & NAMES:

@@ -272,3 +272,35 @@ def test_few_labels_flag_no_large_share():
     model = abuse.train(texts, case, lambda v: (abuse.Background.tally(every, v), len(every.word)), corpus)
     flagged = abuse.severities(model, every)[0] >= model.cutoff
     assert flagged[::40].mean() >= 0.9 and flagged.mean() <= 0.04
+
+
+PARTS = (
+    "Ann Dravby|Bo O. Thale|Dravby, Ann|signed|my cousin|Dr.|- |— |here|from my office|hier|12|345|020 7946 0501|+44|SSN 921-14-8805|ID 069616780965|national|passport|A1234567|call|(at)|[@]|@|mail|com|.|[.]|dot|at|"
+    "two eight seven|five five five|zero|94 Hollow Lane|12a|Lerchenweg|straße 5|Bahnhofstr.|rue de la Paix|12 bis|calle Mayor|7|số 195|đường Hoa|P.O. Box|flat 3,|Street|\n|​|\xa0|,|:|is|<p>|х|１２３４５６|không một hai ba bốn|năm|hàng xóm nhà tôi|cảm ơn|merci à|regards,"
+).split("|")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PARTS), st.sampled_from(["", " ", " ", ", "])), min_size=1, max_size=9))
+def test_the_gate_loses_nothing(parts):
+    text = "".join(a + b for a, b in parts)
+    steps = int(privacy.suspects(*ta.decode(pa.array([text])))[0])
+    assert privacy.find(text, steps) == privacy.find(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.from_regex(re.compile(rf"(?:{privacy.RELATIVES}|{privacy.SIGNED})"), fullmatch=True)))
+def test_every_cue_passes_the_gate(cue):
+    text = f"x {cue} Ann Dravby."
+    steps = int(privacy.suspects(*ta.decode(pa.array([text])))[0])
+    assert privacy.find(text, steps) == privacy.find(text)
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [("SSN 921-14-8805, yes", ["id_number"]), ("Refund case under national ID 069616780965", ["id_number"]), ("- Tobiah K. Fenwelby Shonaraon plays", ["name"]), ("- The Gentle Carousel has restless anger", []), ("A-12 345 678 units", [])],
+)
+def test_cues_written_before_numbers_and_signatures(text, kinds):
+    found = privacy.find(text)
+    assert [k for k, _, _ in found] == kinds
+    assert all(not text[a:b].startswith(("SSN", "ID")) for _, a, b in found)
