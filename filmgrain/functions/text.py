@@ -16,6 +16,34 @@ SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 
 
+#: Shown names of sources.
+SOURCE_NAMES = {"tmdb": "TMDB Reviewer", "imdb": "IMDb Reviewer"}
+UUID = r"(?i)^(?:urn:uuid:)?(?:\{[0-9a-f]{8}-?(?:[0-9a-f]{4}-?){3}[0-9a-f]{12}\}|[0-9a-f]{8}-?(?:[0-9a-f]{4}-?){3}[0-9a-f]{12})$"
+
+
+def is_uuid(text: Column) -> Column:
+    """Whether a text is a UUID, with or without dashes or braces; NULL is none."""
+    return F.coalesce(text.rlike(UUID), F.lit(False))
+
+
+def display_name(name: Column) -> Column:
+    """A source's shown name in the place of its key; other names stay."""
+    out = name
+    for key, shown in SOURCE_NAMES.items():
+        out = F.when(name == key, F.lit(shown)).otherwise(out)
+    return out
+
+
+def trimmed_query(text: Column) -> Column:
+    """A query without white space at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def iso(moment: Column) -> Column:
+    """A moment in ISO form, to the second."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def clean_html(text: Column) -> Column:
     """Text without scripts, styles, comments and tags (a blank in the place of each), common entities decoded; NULL gives ''."""
     out = F.coalesce(text, F.lit(""))

@@ -32,15 +32,30 @@ def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return row[ok], x[ok] / size[ok, None]
 
 
-def score_against(df: DataFrame, vector_col: str, query: list[float], keep: list[str], least: float) -> DataFrame:
+def score_against(df: DataFrame, vector_col: str, query: list[float], keep: list[str], least: float, most: int | None = None) -> DataFrame:
     """Rows of df whose vector has at least this cosine similarity with query: the columns keep and score.
 
-    Unusable vectors (NULL, other length, length zero, NULL or NaN inside) never score.
+    Unusable vectors (NULL, other length, length zero, NULL or NaN inside) never score. most: from each task only the rows of
+    the so many ids (the first of keep) with the greatest scores, of each id the best row; no others can be among the first most.
     """
     q = np.asarray(query, np.float64)
     q = q / (np.linalg.norm(q) or 1.0)
     dim = len(q)
 
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("score", "descending"), (keep[0], "ascending"), *((k, "ascending") for k in keep[1:])])
+        ids = t.column(keep[0]).combine_chunks().dictionary_encode()
+        once = np.unique(ids.indices.to_numpy(zero_copy_only=False), return_index=True)[1]
+        return t.take(pa.array(np.sort(once)[:most]))
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in run(batches):
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                held = first(t if held is None else pa.concat_tables([held, t]))
+        yield from held.to_batches() if held is not None else ()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, x = _matrix(batch.column(vector_col), dim)
@@ -51,7 +66,7 @@ def score_against(df: DataFrame, vector_col: str, query: list[float], keep: list
 
     fields = [df.schema[k] for k in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return df.select(*keep, vector_col).mapInArrow(run, schema)
+    return df.where(F.size(vector_col) == dim).select(*keep, vector_col).mapInArrow(top if most else run, schema)
 
 
 def score_many(df: DataFrame, id_col: str, vector_col: str, queries: dict[str, list[float]], least: float) -> DataFrame:
@@ -96,13 +111,19 @@ class HashingEmbedder:
         return out / np.where(size == 0, 1, size)
 
 
-def embed(text: Column, embedder: Embedder | None = None) -> Column:
-    """Vectors of preprocessed texts; the embedder is loaded once per worker."""
+def embed_texts(model: Embedder, texts: list[str], size: int = 32) -> np.ndarray:
+    """Vectors of texts, size of them at a time; no texts give no vectors."""
+    parts = [model.embed(texts[i : i + size]) for i in range(0, len(texts), size)]
+    return np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, model.dim), np.float32)
+
+
+def embed(text: Column, embedder: Embedder | None = None, size: int = 32) -> Column:
+    """Vectors of preprocessed texts in batches of size; the embedder is loaded once per worker."""
     model = embedder or HashingEmbedder()
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(model.embed(texts.fillna("").tolist()).astype(np.float32)))
+            yield pd.Series(list(embed_texts(model, texts.fillna("").tolist(), size)))
 
     return run(text)

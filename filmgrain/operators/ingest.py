@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranks import numbered
 
 
 def stable_id(*parts: Column) -> Column:
@@ -57,7 +58,7 @@ def get_or_create(names: DataFrame, genres: DataFrame) -> DataFrame:
     """genres with the new names; ids go on from the greatest."""
     new = names.select("name").where("name IS NOT NULL").distinct().join(genres.select("name"), "name", "left_anti")
     top = genres.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    made = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("name"))).cast("int").alias("id"), "name")
+    made = numbered(new, "place", "name").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place")).cast("int").alias("id"), "name")
     return genres.select("id", "name").unionByName(made)
 
 
@@ -88,3 +89,22 @@ def ingest(movie_pages: DataFrame, review_pages: DataFrame, genres: DataFrame, o
         "reviews": own.select("id", "movie_id", "content", "source", "rating", "created_at", "author_name", "author_avatar_url"),
         "movie_genres": genre_links(films, genres),
     }
+
+
+def with_reviews(movies: DataFrame, reviews: DataFrame, most: int) -> DataFrame:
+    """(tmdb_id, title, reviews): each film with its first reviews in order of pages, by one join in the place of a request for each film."""
+    few = capped(reviews.select("tmdb_id", "page", "pos", "source_id"), "tmdb_id", most, "page", "pos")
+    each = few.groupBy("tmdb_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "pos", "source_id"))), lambda r: r["source_id"]).alias("reviews"))
+    return movies.select("tmdb_id", "title").join(each, "tmdb_id", "left").select("tmdb_id", "title", F.coalesce("reviews", F.array().cast("array<string>")).alias("reviews"))
+
+
+def totals(new: dict[str, DataFrame]) -> DataFrame:
+    """What a run brings: films, films with valid reviews, and reviews."""
+    r = new["reviews"].agg(F.count_distinct("movie_id").alias("movies_with_reviews"), F.count("*").alias("reviews"))
+    return new["movies"].agg(F.count("*").alias("movies")).crossJoin(r)  # one row each
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and an observation whose rows are those that a write of df has put out."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

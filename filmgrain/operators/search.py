@@ -19,7 +19,7 @@ def hits(points: DataFrame, query: list[float], req: SearchRequest) -> DataFrame
     """The first 3 * limit reviews by score; filters reach the scan. A point delivered twice counts once."""
     p = P.payload_filter(req.min_year, req.max_year, req.min_rating)
     rows = points if p is None else points.where(p)
-    scored = V.score_against(rows, "vector", query, PAYLOAD, req.threshold)
+    scored = V.score_against(rows, "vector", query, PAYLOAD, req.threshold, 3 * req.limit)
     once = scored.groupBy("id").agg(F.max(F.struct("score", "movie_id", "movie_title")).alias("s")).select("id", "s.*")
     return once.orderBy(F.desc("score"), "id").limit(3 * req.limit)
 
@@ -55,10 +55,16 @@ def search(points: DataFrame, movies: DataFrame, reviews: DataFrame, movie_genre
 
 
 def similar_reviews(points: DataFrame, query: list[float], limit: int = 10, threshold: float = 0.5) -> DataFrame:
-    rows = V.score_against(points, "vector", query, ["id"], threshold).groupBy("id").agg(F.max("score").alias("score"))
+    rows = V.score_against(points, "vector", query, ["id"], threshold, limit).groupBy("id").agg(F.max("score").alias("score"))
     return rows.orderBy(F.desc("score"), "id").limit(limit).select("id", F.round("score", 4).alias("score"))
 
 
+def response(found: DataFrame, query: str) -> DataFrame:
+    """The answer's envelope: the query, how many results there are after all filters, and the results in their order (at most 50)."""
+    rows = found.agg(F.count("*").alias("total_results"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "movie_id", "title", "score"))).alias("results"))
+    return rows.select(F.lit(query).alias("query"), "total_results", F.transform("results", lambda r: F.struct(r["movie_id"].alias("movie_id"), r["title"].alias("title"), r["score"].alias("score"))).alias("results"))
+
+
 def score_bucket(score):
     """Named ranges of a score, as a Column."""
     return F.when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low")

@@ -147,7 +147,8 @@ def movies_title_ilike(spark, sf):
 
 @query(f"WITH {MOVIES} SELECT id, CAST(release_date AS VARCHAR) AS release_date FROM m WHERE year(release_date) = 1999")
 def movies_year_range(spark, sf):
-    return S.movies(spark, sf).where(P.in_year(F.col("release_date"), 1999)).select("id", F.col("release_date").cast("string").alias("release_date"))
+    rows = S.latest_where(S.table(spark, sf, "movies"), "id", "updated_at", P.in_year(F.col("release_date"), 1999), "id", "updated_at", "release_date")
+    return rows.select("id", F.col("release_date").cast("string").alias("release_date"))
 
 
 HOT = "(SELECT movie_id FROM reviews GROUP BY movie_id ORDER BY count(DISTINCT id) DESC, movie_id LIMIT 1)"
@@ -163,14 +164,16 @@ def _hot(spark, sf) -> str:
 
 @query(f"WITH {REVIEWS}, {DETAIL} SELECT * FROM d")
 def movie_detail_reviews(spark, sf):
-    return catalog.detail_reviews(S.reviews(spark, sf), S.table(spark, sf, "users"), _hot(spark, sf))
+    hot = _hot(spark, sf)
+    return catalog.detail_reviews(S.reviews(spark, sf, where=F.col("movie_id") == hot), S.table(spark, sf, "users"), hot)
 
 
 @query(f"""WITH {REVIEWS}, {MOVIES}, {DETAIL}, {NAMES} SELECT m.id, m.title, array_to_string(coalesce(names, []), ',') AS genres, (SELECT count(*) FROM d) AS review_count,
 (SELECT string_agg(id || ':' || coalesce(author_name, ''), '|' ORDER BY place) FROM d) AS reviews FROM m LEFT JOIN g ON g.movie_id = m.id WHERE m.id = {HOT}""")
 def movie_detail_nested(spark, sf):
-    _, movies, reviews, links, genres = _tables(spark, sf)
-    d = catalog.detail(movies, reviews, S.table(spark, sf, "users"), links, genres, _hot(spark, sf))
+    _, movies, _, links, genres = _tables(spark, sf)
+    hot = _hot(spark, sf)
+    d = catalog.detail(movies, S.reviews(spark, sf, where=F.col("movie_id") == hot), S.table(spark, sf, "users"), links, genres, hot)
     each = F.transform("reviews", lambda x: F.concat(x["id"], F.lit(":"), F.coalesce(x["author_name"], F.lit(""))))
     return d.select("id", "title", F.array_join("genres", ",").alias("genres"), "review_count", F.array_join(each, "|").alias("reviews"))
 
@@ -182,7 +185,7 @@ def genres_list(spark, sf):
 
 @query(f"WITH {MOVIES}, {REVIEWS}, {STATS} SELECT m.id, coalesce(n, 0) AS review_count, a AS average_rating FROM m LEFT JOIN st ON st.movie_id = m.id")
 def rating_stats(spark, sf):
-    return catalog.with_stats(S.movies(spark, sf).select("id"), S.reviews(spark, sf)).select("id", "review_count", "average_rating")
+    return catalog.with_stats(S.table(spark, sf, "movies").where("id IS NOT NULL").select("id").distinct(), S.reviews(spark, sf, "id", "movie_id", "rating")).select("id", "review_count", "average_rating")
 
 
 @query("SELECT (SELECT count(DISTINCT id) FROM movies) AS movies, (SELECT count(*) FROM movie_reviews) AS points, (SELECT max(len(vector))::INT FROM movie_reviews) AS dim, 'healthy' AS status")
@@ -198,23 +201,23 @@ for _name, _char in X.ENTITIES:
 
 @query(f"WITH {REVIEWS} SELECT id, lower(trim(regexp_replace({_CLEAN}, '{_SQL_SPACE}+', ' ', 'g'))) AS text FROM r")
 def text_preprocess(spark, sf):
-    return S.reviews(spark, sf).select("id", X.preprocess(F.col("content")).alias("text"))
+    return S.reviews(spark, sf, "id", "content").select("id", X.preprocess(F.col("content")).alias("text"))
 
 
 @query(f"WITH {REVIEWS} SELECT id, length(regexp_replace(coalesce(content, ''), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g')) AS chars FROM r WHERE length(regexp_replace(coalesce(content, ''), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g')) >= 20")
 def review_valid(spark, sf):
-    return S.reviews(spark, sf).where(X.is_valid_review(F.col("content"))).select("id", X.stripped_length(F.col("content")).alias("chars"))
+    return S.reviews(spark, sf, "id", "content").where(X.is_valid_review(F.col("content"))).select("id", X.stripped_length(F.col("content")).alias("chars"))
 
 
 @query(f"WITH {REVIEWS}, c AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY created_at, id) k FROM r) SELECT id, movie_id FROM c WHERE k <= 10 AND length(regexp_replace(coalesce(content, ''), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g')) >= 20")
 def review_cap(spark, sf):
-    return ingest.valid_reviews(S.reviews(spark, sf), "movie_id", 10, "created_at", "id").select("id", "movie_id")
+    return ingest.valid_reviews(S.reviews(spark, sf, "id", "movie_id", "content", "created_at"), "movie_id", 10, "created_at", "id").select("id", "movie_id")
 
 
 @query("SELECT text_hash, doc_id FROM (SELECT md5(text) AS text_hash, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) k FROM documents WHERE text IS NOT NULL) WHERE k = 1")
 def ingest_first_wins(spark, sf):
     rows = S.table(spark, sf, "documents").where("text IS NOT NULL").select(F.md5("text").alias("text_hash"), "doc_id")
-    return rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    return ingest.first_wins(rows, "text_hash", "doc_id")
 
 
 @query("SELECT DISTINCT d.tmdb_id FROM documents d WHERE d.tmdb_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM movies m WHERE m.tmdb_id = d.tmdb_id AND m.release_date < DATE '2000-01-01')")
@@ -237,16 +240,19 @@ def keyed_upsert(spark, sf):
     return S.upsert(g, new, "id")
 
 
-@query("""WITH n AS (SELECT id, rating + 1 AS rating FROM movie_reviews WHERE source = 'tmdb' AND year > 2000), k AS (SELECT id, max(rating) rating FROM n GROUP BY id)
-SELECT id, rating FROM k UNION ALL SELECT id, rating FROM movie_reviews WHERE id NOT IN (SELECT id FROM k)""")
+@query("""WITH n AS (SELECT id, rating + 1 AS rating, list_transform(vector, lambda x: -x) AS vector FROM movie_reviews WHERE source = 'tmdb' AND year > 2000),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rating DESC) b FROM n) WHERE b = 1)
+SELECT id, rating, round(vector[1], 5) AS first, len(vector)::INT AS dim FROM k UNION ALL SELECT id, rating, round(vector[1], 5), len(vector)::INT FROM movie_reviews WHERE id NOT IN (SELECT id FROM k)""")
 def vector_upsert(spark, sf):
-    p = S.table(spark, sf, "movie_reviews").select("id", "rating", "source", "year")
-    return S.upsert(p.select("id", "rating"), p.where("source = 'tmdb' AND year > 2000").select("id", (F.col("rating") + 1).alias("rating")), "id")
+    p = S.table(spark, sf, "movie_reviews").select("id", "rating", "vector", "source", "year")
+    new = p.where("source = 'tmdb' AND year > 2000").select("id", (F.col("rating") + 1).alias("rating"), F.transform("vector", lambda x: -x).alias("vector"))
+    out = S.upsert(p.select("id", "rating", "vector"), new, "id")
+    return out.select("id", "rating", F.round(F.get("vector", F.lit(0)), 5).alias("first"), F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dim"))
 
 
 @query("SELECT DISTINCT id FROM reviews WHERE source <> 'user' AND id NOT IN (SELECT id FROM movie_reviews)")
 def reconcile_vectors(spark, sf):
-    return ingest.missing_points(S.reviews(spark, sf), S.table(spark, sf, "movie_reviews"))
+    return ingest.missing_points(S.reviews(spark, sf, "id", "source"), S.table(spark, sf, "movie_reviews"))
 
 
 @query("SELECT DISTINCT id, movie_id FROM movie_reviews WHERE movie_id IS NOT NULL AND movie_id NOT IN (SELECT id FROM movies)")
@@ -269,7 +275,7 @@ def like_parity(spark, sf):
 
 @query(f"WITH {REVIEWS}, n AS (SELECT review_id, count(*) c FROM (SELECT DISTINCT user_id, review_id FROM review_likes) GROUP BY 1) SELECT r.id, coalesce(r.likes_count, 0) AS stored, coalesce(c, 0) AS likes FROM r LEFT JOIN n ON n.review_id = r.id")
 def like_counts(spark, sf):
-    return social.like_counts(S.table(spark, sf, "review_likes"), S.reviews(spark, sf))
+    return social.like_counts(S.table(spark, sf, "review_likes"), S.reviews(spark, sf, "id", "likes_count"))
 
 
 @query(f"WITH {REVIEWS} SELECT id, movie_id, 'user' AS source, 0 AS likes_count FROM r WHERE length(content) >= 1 AND (rating IS NULL OR rating BETWEEN 0 AND 10) AND movie_id IN (SELECT id FROM movies WHERE release_date >= DATE '2000-01-01')")
@@ -285,7 +291,7 @@ def cascade_prune(spark, sf):
 
 @query(f"WITH {REVIEWS} SELECT r.id, u.id AS user_id FROM r LEFT JOIN (SELECT DISTINCT id FROM users WHERE email IS NOT NULL) u ON u.id = r.user_id")
 def cascade_set_null(spark, sf):
-    return social.set_null(S.reviews(spark, sf).select("id", "user_id"), S.table(spark, sf, "users").where("email IS NOT NULL"), "user_id")
+    return social.set_null(S.reviews(spark, sf, "id", "user_id"), S.table(spark, sf, "users").where("email IS NOT NULL"), "user_id")
 
 
 @query(f"WITH {REVIEWS} SELECT r.id, coalesce(nullif(r.author_name, ''), CASE WHEN u.id IS NOT NULL THEN u.nickname END, r.source) AS author FROM r LEFT JOIN users u ON u.id = r.user_id")
@@ -308,13 +314,12 @@ def genre_join_slice(spark, sf):
 @query(f"""WITH {MOVIES} SELECT id, coalesce(CAST(year(release_date) AS VARCHAR), 'N/A') AS year, strftime(release_date, '%-d/%-m/%Y') AS shown_date, upper(substr(title, 1, 1)) AS initial,
 coalesce(nullif(overview, ''), 'No overview') AS overview, CASE WHEN nullif(poster_path, '') IS NOT NULL THEN 'https://images.example/' || poster_path END AS poster FROM m""")
 def card_fields(spark, sf):
-    d = F.col("release_date")
-    return S.movies(spark, sf).select("id", F.coalesce(F.year(d).cast("string"), F.lit("N/A")).alias("year"), F.date_format(d, "d/M/yyyy").alias("shown_date"), X.initial(F.col("title")).alias("initial"), F.coalesce(X.given(F.col("overview")), F.lit("No overview")).alias("overview"), X.image_url(F.col("poster_path"), "https://images.example/").alias("poster"))
+    return catalog.cards(S.movies(spark, sf), "https://images.example/")
 
 
 @query("SELECT id, username, nickname, email, avatar_url FROM users")
 def user_public(spark, sf):
-    return S.table(spark, sf, "users").select("id", "username", "nickname", "email", "avatar_url")
+    return catalog.public_users(S.table(spark, sf, "users"))
 
 
 @query(f"""WITH {MOVIES}, {REVIEWS}, l AS (SELECT movie_id, array_to_string(list_transform(list_sort(list(DISTINCT genre_id)), lambda x: CAST(x AS VARCHAR)), ',') ids FROM movie_genres GROUP BY 1)
@@ -326,7 +331,7 @@ def vector_payload(spark, sf):
 
 @query("SELECT 'movie_reviews' AS name, count(*) AS points, count(DISTINCT id) AS ids, count(vector) AS vectors, max(len(vector))::INT AS dim FROM movie_reviews")
 def collection_stats(spark, sf):
-    return S.table(spark, sf, "movie_reviews").agg(F.lit("movie_reviews").alias("name"), F.count("*").alias("points"), F.count_distinct("id").alias("ids"), F.count("vector").alias("vectors"), F.max(F.size("vector")).alias("dim"))
+    return S.collection_stats(S.table(spark, sf, "movie_reviews"), "movie_reviews")
 
 
 @query("SELECT id, name FROM genres UNION ALL SELECT ((SELECT max(id) FROM genres) + row_number() OVER (ORDER BY name))::INT, name FROM (SELECT DISTINCT source AS name FROM reviews WHERE source NOT IN (SELECT name FROM genres))")
@@ -334,14 +339,10 @@ def genre_get_or_create(spark, sf):
     return ingest.get_or_create(S.table(spark, sf, "reviews").select(F.col("source").alias("name")), S.table(spark, sf, "genres"))
 
 
-@query("SELECT r.source, count(*) AS lines FROM (SELECT source FROM reviews UNION ALL SELECT source FROM documents) r GROUP BY r.source")
-def pages_concat(spark, sf):
-    return S.concat_pages(S.table(spark, sf, "reviews").select("source"), S.table(spark, sf, "documents").select("source")).groupBy("source").agg(F.count("*").alias("lines"))
-
-
 @query(f"WITH {MOVIES} SELECT id, title, year(release_date)::INT AS year FROM m WHERE id = {HOT}")
 def movie_lookup(spark, sf):
-    return S.movies(spark, sf).where(F.col("id") == _hot(spark, sf)).select("id", "title", F.year("release_date").alias("year"))
+    one = S.latest(S.table(spark, sf, "movies").where(F.col("id") == _hot(spark, sf)), "id", "updated_at")
+    return S.lookup(one).select("id", "title", F.year("release_date").alias("year"))
 
 
 ACTIVE = "(SELECT user_id FROM review_likes GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)"
@@ -351,16 +352,13 @@ ACTIVE = "(SELECT user_id FROM review_likes GROUP BY user_id ORDER BY count(*) D
 def liked_by_user(spark, sf):
     likes = S.table(spark, sf, "review_likes")
     user = likes.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").first()["user_id"]
-    own = likes.where(F.col("user_id") == user).select(F.col("review_id").alias("id"), F.lit(True).alias("liked")).distinct()
-    return S.reviews(spark, sf).select("id", "movie_id").join(own, "id", "left").select("id", "movie_id", F.coalesce("liked", F.lit(False)).alias("is_liked"))
+    return social.liked_by(S.reviews(spark, sf, "id", "movie_id"), likes, user)
 
 
 @query("SELECT p.movie_id, g.name, count(*) AS mentions FROM (SELECT movie_id, unnest(genre_ids) gid FROM movie_reviews) p LEFT JOIN genres gg ON gg.id = TRY_CAST(gid AS INT), LATERAL (SELECT coalesce(gg.name, 'Unknown') AS name) g WHERE p.movie_id IS NOT NULL GROUP BY 1, 2")
 def genre_name_default(spark, sf):
     ids = S.table(spark, sf, "movie_reviews").where("movie_id IS NOT NULL").select("movie_id", F.explode("genre_ids").alias("g"))
-    names = S.table(spark, sf, "genres").select(F.col("id").alias("gid"), "name")
-    out = ids.join(names, F.col("g").try_cast("int") == F.col("gid"), "left")
-    return out.groupBy("movie_id", F.coalesce("name", F.lit("Unknown")).alias("name")).agg(F.count("*").alias("mentions"))
+    return catalog.genre_name_or_unknown(ids, S.table(spark, sf, "genres"), "g").groupBy("movie_id", "name").agg(F.count("*").alias("mentions"))
 
 
 @query()

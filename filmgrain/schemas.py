@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 
 MOVIES = "id string, tmdb_id int, title string, overview string, release_date date, poster_path string, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -14,6 +15,8 @@ REVIEW_LIKES = "user_id string, review_id string, created_at timestamp_ntz"
 WATCHLIST = "id string, user_id string, movie_id string, status string, created_at timestamp_ntz"
 POINTS = "id string, vector array<float>, movie_id string, movie_title string, rating double, year int, genre_ids array<string>, source string"
 DIM = 384
+#: The relational tables by name.
+TABLES = {"movies": MOVIES, "reviews": REVIEWS, "genres": GENRES, "movie_genres": MOVIE_GENRES, "users": USERS, "review_likes": REVIEW_LIKES, "watchlist": WATCHLIST}
 
 #: A page of films, of reviews and of genres as they land; missing and null fields read alike.
 MOVIE_PAGE = "page int, total_pages int, results array<struct<id: int, title: string, original_title: string, overview: string, release_date: string, poster_path: string, backdrop_path: string, vote_average: double, vote_count: int, popularity: double, genre_ids: array<int>>>"
@@ -36,14 +39,48 @@ class SearchRequest:
     min_rating: float | None = None
     genres: tuple[str, ...] = field(default=())
     threshold: float = 0.3
+    query: str | None = None
 
     def __post_init__(self) -> None:
+        if self.query is not None:
+            _within("length of query", len(self.query.strip()), 2, 500)
         _within("limit", self.limit, 1, 50)
         _within("min_year", self.min_year, 1900, 2100)
         _within("max_year", self.max_year, 1900, 2100)
         _within("min_rating", self.min_rating, 0, 10)
 
 
+@dataclass(frozen=True)
+class ReviewRequest:
+    """A review that a user posts."""
+
+    content: str
+    rating: float | None = None
+
+    def __post_init__(self) -> None:
+        if not self.content:
+            raise ValueError("content must not be empty")
+        _within("rating", self.rating, 0, 10)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Settings of a run: defaults, over which variables with the prefix go."""
+
+    tables: str = "tables"
+    collection: str = "movie_reviews"
+    image_prefix: str = ""
+    max_pages: int = 10
+    max_reviews: int = 10
+    dim: int = DIM
+    threshold: float = 0.3
+
+    @classmethod
+    def read(cls, values: Mapping[str, str], prefix: str = "FILMGRAIN_") -> Settings:
+        given = {f.name: values[prefix + f.name.upper()] for f in fields(cls) if values.get(prefix + f.name.upper())}
+        return cls(**{k: type(getattr(cls, k))(v) for k, v in given.items()})
+
+
 @dataclass(frozen=True)
 class ListRequest:
     """Parameters of the catalogue list."""

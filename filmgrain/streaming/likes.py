@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ingest import first_wins, not_yet
+
 
 def _toggle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     liked = state.get[0] if state.exists else False
@@ -25,10 +27,10 @@ def like_states(toggles: DataFrame, user: str, target: str) -> DataFrame:
     return pairs.groupBy("u", "t").applyInPandasWithState(_toggle, "user_id string, review_id string, liked boolean", "liked boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest_stream(pages: DataFrame, key: str, existing: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str):
-    """Adds rows with new keys in each micro-batch, first occurrence first; rerunning a batch adds nothing."""
+def ingest_stream(pages: DataFrame, key: str, existing: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str, order: tuple[str, ...] = ()):
+    """Adds rows with new keys in each micro-batch, of several with one key the first by order (without it, by all columns); rerunning a batch adds nothing."""
 
     def step(batch: DataFrame, _: int) -> None:
-        append(batch.dropDuplicates([key]).join(existing().select(key), key, "left_anti"))
+        append(not_yet(first_wins(batch, key, *(order or batch.columns)), existing(), key))
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
