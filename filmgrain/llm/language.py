@@ -34,6 +34,8 @@ SAMPLE, BUCKETS, GRAMS = 4_000, 1 << 16, (1, 2, 3, 4)
 #: Distinct words whose bits a worker remembers; a memory that is full is emptied, which only costs time.
 MEMORY = 400_000
 SURE, MIN_WORDS, MIN_LETTERS = 0.90, 4, 12
+#: Characters beyond which a text is not fitted on (its languages are found all the same).
+FIT_CHARS = 50_000
 MARKUP = re.compile(r"<[^<>]{1,200}>|&#?\w{1,10};|https?://\S+")
 
 
@@ -144,10 +146,15 @@ class Model:
 
     def decode(self, total: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and confidence from sums of bits; more words make surer."""
+        return self.ranked(total, number)[:2]
+
+    def ranked(self, total: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, confidence, and the language that comes next."""
         m = total / np.sqrt(np.maximum(number, 1))[:, None]
         loss = np.stack([(self.trust * np.logaddexp(0, -m * c)).sum(1) for c in self.code], 1) / self.trust.sum()
         e = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
-        return loss.argmin(1), 1 / e.sum(1)
+        order = np.argsort(loss, axis=1, kind="stable")
+        return order[:, 0], 1 / e.sum(1), order[:, 1]
 
 
 def bare(text: str) -> str:
@@ -196,7 +203,8 @@ def learn(df: DataFrame, text_col: str, lang_col: str, languages: tuple[str, ...
     """A model fitted on the driver on about SAMPLE labelled texts, drawn by hash."""
     known = df.select(F.col(text_col).alias("text"), label_of(F.col(lang_col)).alias("lang")).where(F.col("lang").isin(*languages) & (F.length("text") >= 40))
     n = known.count()
-    rows = known.where(F.pmod(F.xxhash64("text"), F.lit(max(n, 1))) < SAMPLE).toArrow().sort_by([("text", "ascending")]).to_pydict()
+    # each different text is drawn or not, so that copies neither count nor travel; what is fitted on is bounded in characters too
+    rows = known.where((F.pmod(F.xxhash64("text"), F.lit(max(n, 1))) < SAMPLE) & (F.length("text") <= FIT_CHARS)).groupBy("text").agg(F.min("lang").alias("lang")).toArrow().sort_by([("text", "ascending")]).to_pydict()
     return train(rows["text"], rows["lang"], languages)
 
 
@@ -211,15 +219,16 @@ def _segments(model: Model):
                 w = Words(cps, offs)
                 total, number = model.margins(w)
                 letters = np.bincount(w.sentence, w.size, w.n) if len(w.word) else np.zeros(w.n)
-                lang, conf = model.decode(total, number)
+                lang, conf, after = model.ranked(total, number)
                 sure = (conf >= SURE) & (number >= MIN_WORDS) & (letters >= MIN_LETTERS)
                 n = len(part)
                 has = np.bincount(w.text_of[sure], minlength=n) > 0
                 words = np.bincount(w.text_of, number, n)
                 whole = np.stack([np.bincount(w.text_of, t, n) for t in total.T], 1)
-                all_lang, all_conf = model.decode(whole, words)
+                all_lang, all_conf, all_after = model.ranked(whole, words)
                 lang = np.where(has[w.text_of], lang, all_lang[w.text_of])
                 conf = np.where(has[w.text_of], conf, all_conf[w.text_of])
+                after = np.where(has[w.text_of], after, all_after[w.text_of])
                 # an unsure sentence takes the language of the last sure one of its text, or else of the next
                 known = sure | ~has[w.text_of]
                 row = np.arange(w.n)
@@ -238,19 +247,25 @@ def _segments(model: Model):
                 weight = np.where(known, np.maximum(number, 1e-9), 0)
                 group = np.cumsum(new) - 1
                 c = np.bincount(group, (conf * weight)[row]) / np.maximum(np.bincount(group, weight[row]), 1e-12)
+                # a segment is ambiguous whose confidence is too low; its runner-up is that of its longest known sentence
+                by = row[np.lexsort((weight[row], group))]
+                longest = by[np.append(np.flatnonzero(np.diff(np.sort(group))), len(by) - 1)]
                 text = w.text_of[first]
                 keep = [k for k in part.schema.names if k != "text"]
                 picked = {k: part.column(k).take(pa.array(text)) for k in keep}
-                yield pa.record_batch(picked | {"begin": (w.begin[first] - offs[text]).astype(np.int32), "end": (end - offs[text]).astype(np.int32), "found": pa.array(names[lang[first]], pa.string()), "confidence": np.round(np.minimum(c, 1.0), 4)})
+                yield pa.record_batch(picked | {"begin": (w.begin[first] - offs[text]).astype(np.int32), "end": (end - offs[text]).astype(np.int32), "found": pa.array(names[lang[first]], pa.string()), "confidence": np.round(np.minimum(c, 1.0), 4), "ambiguous": c < SURE, "runner_up": pa.array(names[after[longest]], pa.string())})
 
     return run
 
 
 def segments(df: DataFrame, id_col: str, text_col: str, model: Model, label_col: str | None = None) -> DataFrame:
-    """(id, label, begin, end, found, confidence): the one-language segments of each text; offsets count characters from 0."""
+    """(id, label, begin, end, found, confidence, ambiguous, runner_up): the one-language segments of each text.
+
+    Offsets count characters from 0; an ambiguous segment may as well be of the runner-up language.
+    """
     label = label_of(F.col(label_col)) if label_col else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).cast("string").alias("id"), label.alias("label"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(_segments(model), "id string, label string, begin int, end int, found string, confidence double")
+    return rows.mapInArrow(_segments(model), "id string, label string, begin int, end int, found string, confidence double, ambiguous boolean, runner_up string")
 
 
 def languages_of(df: DataFrame, id_col: str, text_col: str, model: Model, label_col: str | None = None, min_chars: int = 40) -> DataFrame:

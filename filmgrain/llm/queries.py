@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import latest
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -14,6 +16,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _latest_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, content): one row for each review, the last delivered; rows without an id stay."""
+    rows = table(spark, sf, "reviews")
+    return latest(rows, "id", "ingested_at", "id", "content").unionByName(rows.where("id IS NULL").select("id", "content"))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     from .splitting import split
 
@@ -24,8 +32,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from .splitting import split
 
-    rows = table(spark, sf, "reviews").dropDuplicates(["id"])
-    return split(rows, "id", "content").select(F.col("id").alias("review_id"), "piece_no", "n_pieces", "begin", "end", "new_from", "piece")
+    return split(_latest_reviews(spark, sf), "id", "content").select(F.col("id").alias("review_id"), "piece_no", "n_pieces", "begin", "end", "new_from", "piece")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,8 +64,7 @@ def p3_findings(spark: SparkSession, sf: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     from .privacy import redacted
 
-    rows = table(spark, sf, "reviews").dropDuplicates(["id"])
-    return redacted(rows, "id", "content").select(F.col("id").alias("review_id"), F.col("text").alias("content"), "findings")
+    return redacted(_latest_reviews(spark, sf), "id", "content").select(F.col("id").alias("review_id"), F.col("text").alias("content"), "findings")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +131,7 @@ def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
     reviews = table(spark, sf, "reviews")
     model = learn(reviews, "content", "lang")
     parts = [segments(reviews, "id", "content", model).withColumn("record_kind", F.lit("review")), segments(_latest_movies(spark, sf), "id", "overview", model).withColumn("record_kind", F.lit("movie"))]
-    return parts[0].unionByName(parts[1]).select("record_kind", F.col("id").alias("record_id"), "begin", "end", F.col("found").alias("lang"), "confidence").distinct()
+    return parts[0].unionByName(parts[1]).select("record_kind", F.col("id").alias("record_id"), "begin", "end", F.col("found").alias("lang"), "confidence", "ambiguous", "runner_up").distinct()
 
 
 def p6_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -134,7 +134,7 @@ def split(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap:
         raise ValueError("overlap must be less than half of size")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = F.coalesce(F.length("text") > size, F.lit(False))
-    plan = F.pandas_udf(_plan(size, overlap), "array<int>")
+    plan = F.pandas_udf(_plan(size, overlap), "array<int>").asNondeterministic()  # else conditions on its result make it run twice
     spans = rows.where(long).withColumn("plan", plan("text")).withColumn("n_pieces", (F.size("plan") / 3).cast("int"))
     pieces = spans.select("id", "text", "plan", "n_pieces", F.explode(F.sequence(F.lit(1), "n_pieces")).alias("piece_no"))
     at = [F.element_at("plan", F.col("piece_no") * 3 - k) for k in (2, 1, 0)]

@@ -304,3 +304,12 @@ def test_cues_written_before_numbers_and_signatures(text, kinds):
     found = privacy.find(text)
     assert [k for k, _, _ in found] == kinds
     assert all(not text[a:b].startswith(("SSN", "ID")) for _, a, b in found)
+
+
+def test_ambiguous_segments_are_flagged():
+    texts = [t for ts in SAMPLES.values() for t in ts * 8]
+    model = language.train(texts, [k for k, ts in SAMPLES.items() for _ in ts * 8])
+    batch = pa.record_batch({"id": ["a", "b"], "text": ["the film was slow but the ending is a small miracle for everyone", "la de"]})
+    sure, unsure = pa.Table.from_batches(list(language._segments(model)([batch]))).to_pylist()
+    assert sure["found"] == "en" and not sure["ambiguous"] and sure["runner_up"] != "en" and sure["confidence"] >= language.SURE
+    assert unsure["ambiguous"] and unsure["runner_up"] != unsure["found"] and unsure["confidence"] < language.SURE
