@@ -195,11 +195,15 @@ def _search(items: Items, near_share: float):
 
 def leaks(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str = "text", least: int = 12, near_share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, longest_run, covered_words, item_words): exact (longest_run >= least) and proximity matches."""
-    spark = corpus.sparkSession
+    return search(build_index(corpus, doc_id, text_col), items, item_id, text_col, least, near_share)
+
+
+def search(index: DataFrame, items: DataFrame, item_id: str, text_col: str = "text", least: int = 12, near_share: float = 0.5) -> DataFrame:
+    """leaks in the corpus of an index, which serves any number of searches."""
+    spark = index.sparkSession
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
     chars = tests.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = max(1, math.ceil(1.2 * chars / BLOCK_CHARS)) if chars > BLOCK_CHARS else 1
-    index = build_index(corpus, doc_id, text_col)
     out = None
     for b in range(blocks):
         block = Items(tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow(), least)

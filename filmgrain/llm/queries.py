@@ -35,6 +35,14 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split(_latest_reviews(spark, sf), "id", "content").select(F.col("id").alias("review_id"), "piece_no", "n_pieces", "begin", "end", "new_from", "piece")
 
 
+def p1_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of each review without their overlaps, put together again, and the greatest size."""
+    p = p1_pieces(spark, sf).where("review_id IS NOT NULL")
+    new = F.struct("piece_no", F.expr("substring(piece, new_from - begin + 1)").alias("new"))
+    each = p.groupBy("review_id").agg(F.sort_array(F.collect_list(new)).alias("news"), F.max(F.length("piece")).alias("longest"))
+    return each.select("review_id", F.md5(F.array_join(F.transform("news", lambda x: x["new"]), "")).alias("text_hash"), (F.coalesce("longest", F.lit(0)) <= 1000).alias("within"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from .neighbours import similar_pairs
 
@@ -192,11 +200,35 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
     return sharing_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_findings, p3_redacted, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups)}
+def p9_removals(spark: SparkSession, sf: str) -> DataFrame:
+    from .sharedspans import paragraph_groups
+
+    return paragraph_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_neighbours, p3_found, p3_findings, p3_redacted, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups, p9_removals)}
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
+PAIRS = f"""w AS (SELECT id, {WORDS.format("content")} ws FROM (SELECT DISTINCT id, content FROM reviews)),
+t AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) i FROM w WHERE len(ws) >= 40)),
+n AS (SELECT id, count(*) n FROM t GROUP BY id), b AS (SELECT x.id a, y.id b, count(*) k FROM t x JOIN t y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
+p AS (SELECT a, b FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9)"""
+WINDOWS = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), o AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)),
+q AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) k FROM q),
+sp AS (SELECT doc_id, (min(i) - 1)::INT AS "begin", (max(i) + 199)::INT AS "end" FROM g GROUP BY doc_id, k)"""
+REACH = "r AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)"
+
 SQL: dict[str, str] = {
+    "p1_rejoined": """SELECT id AS review_id, md5(coalesce(content, '')) AS text_hash, true AS within FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) k FROM reviews WHERE id IS NOT NULL) WHERE k = 1""",
+    "p4_groups": f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a x, b y FROM p UNION SELECT b, a FROM p), {REACH}
+SELECT x AS review_id, min(y) AS group_id, (SELECT count(*) FROM e WHERE e.x = r.x) AS links FROM r GROUP BY x""",
+    "p9_spans": f"WITH {WINDOWS} SELECT * FROM sp",
+    "p9_coverage": f"""WITH {WINDOWS} SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars, round(coalesce(n, 0) / greatest(length(coalesce(text, '')), 1), 6) AS shared_share
+FROM documents d LEFT JOIN (SELECT doc_id, sum("end" - "begin") n FROM sp GROUP BY 1) x ON x.doc_id = d.doc_id""",
+    "p9_groups": f"""WITH RECURSIVE {WINDOWS}, c AS (SELECT h, min(doc_id) m FROM w WHERE h IN (FROM s) GROUP BY h), e AS (SELECT DISTINCT w.doc_id x, m y FROM w JOIN c USING (h) UNION SELECT m, w.doc_id FROM w JOIN c USING (h)), {REACH}
+SELECT x AS doc_id, min(y) AS group_id FROM r GROUP BY x""",
     "p1_found": "SELECT DISTINCT id AS review_id FROM reviews WHERE length(content) > 1000",
     "p2_found": """WITH p AS (SELECT DISTINCT id, vector::DOUBLE[] v FROM movie_reviews WHERE len(vector) = 384 AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
 s AS (SELECT a.id x, b.id y, list_cosine_similarity(a.v, b.v) c FROM p a, p b WHERE a.id <> b.id),

@@ -333,3 +333,26 @@ def test_links_count_every_copy(spark):
     assert all(group[i] == group[j] for i, p in partners.items() for j in p)
     assert group["a204"] == "a000" and group["e0"] == "a000" and group["c1"] == "c0" and "d0" not in group and "two3" not in group
     assert dict(rows(got, "id", "links"))["a204"] == 210
+
+
+def test_paragraphs_that_are_alike(spark):
+    r = random.Random(21)
+    note, other = words(r, 60), words(r, 60)
+    near = " ".join(["edited", *note.split()[1:]])
+    docs = [(1, f"{words(r, 30)}\n\n{note}\nshort"), (2, f"{near}\n{words(r, 40)}"), (3, f"{other}\n{note}"), (4, other), (4, other), (5, None), (None, note), (6, "")]
+    df = clash(spark.createDataFrame(docs, "doc long, body string"))
+    got = {(x["id"], x["paragraph"]): x for x in sharedspans.paragraph_groups(df, "doc", "body").collect()}
+    assert {k: (v["group_id"], v["keep"]) for k, v in got.items()} == {(1, 2): ("1:2", True), (2, 0): ("1:2", False), (3, 1): ("1:2", False), (3, 0): ("3:0", True), (4, 0): ("3:0", False)}
+    text = dict(d for d in docs if d[0] and d[1])
+    assert text[1][got[1, 2]["begin"] : got[1, 2]["end"]] == note and text[3][got[3, 1]["begin"] : got[3, 1]["end"]] == note and got[2, 0]["begin"] == 0
+    assert sharedspans.paragraph_groups(df.limit(0), "doc", "body").count() == 0
+
+
+def test_one_index_serves_searches(spark):
+    r = random.Random(22)
+    items = [(i, words(r, 40)) for i in range(3)]
+    docs = [(i, words(r, 20) + " " + items[i][1] + " " + words(r, 5)) for i in range(2)]
+    index = leakage.build_index(spark.createDataFrame(docs, "doc long, text string"), "doc", "text")
+    for some in (items[:1], items):
+        it = spark.createDataFrame(some, "item long, text string")
+        assert rows(leakage.search(index, it, "item"), "doc_id", "item_id") == [(i, i) for i, _ in some if i < 2]
