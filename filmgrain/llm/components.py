@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.where("b <= a")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+    # written, so that both sides of the join are plain shuffles, of which adaptive execution splits the one with a hub's edges
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")))
     linked = (both.where("b > a") if large else both).join(least, "a")
     out = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:

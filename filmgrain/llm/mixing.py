@@ -20,6 +20,7 @@ import base64
 import math
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -36,17 +37,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @cache
-def encoding(path: str):
+def encoding(vocabulary: bytes):
+    """The encoding of a vocabulary file's content."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(path: str):
+def _sizes(vocabulary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(vocabulary).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "source": batch.column("source"), "tokens": pa.array(n, pa.int64())})
@@ -55,9 +56,9 @@ def _sizes(path: str):
 
 
 def token_sizes(df: DataFrame, id_col: str, source_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens)"""
+    """(doc_id, source, tokens); the tokenizer's file is read on the driver and its content goes to the tasks."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return rows.where("doc_id IS NOT NULL AND source IS NOT NULL").mapInArrow(_sizes(tokenizer), "doc_id long, source string, tokens long")
+    return rows.where("doc_id IS NOT NULL AND source IS NOT NULL").mapInArrow(_sizes(Path(tokenizer).read_bytes()), "doc_id long, source string, tokens long")
 
 
 def pivot(part: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:

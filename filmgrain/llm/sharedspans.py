@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import textarrays as ta
 from .runs import column, whole_runs
 
 GRAM = 100
 #: Rows of one MinHash whose passages are compared at a time; more are compared in slices of passage offsets.
 ROWS = 20_000
+#: Rows of one MinHash beyond which its passages are compared by an aggregation over all tasks, which combines equal ones before the shuffle.
+HOT = 100_000
 
 
 def _anchors(least: int):
@@ -157,6 +160,20 @@ def _verify(least: int):
     return run
 
 
+def _each(least: int):
+    """Every passage of rows by itself, for MinHashes too common for one task: its key, text and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                t = pa.Table.from_batches([batch.slice(lo, 2000)])
+                row, start, key = _passages(t, least, 0, least - GRAM + 1)
+                begin = (column(t, "pos").astype(np.int64) - column(t, "lead"))[row] + start
+                yield pa.record_batch({"key": key.view(np.int64), "id": _one(t.column("id")).take(pa.array(row)), "begin": begin.astype(np.int32)})
+
+    return run
+
+
 def shared_pieces(df: DataFrame, id_col: str, text_col: str, least: int = 200) -> DataFrame:
     """(id, begin, end, link): verified spans, overlapping and in pieces; link is a text that has the same span."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -166,8 +183,20 @@ def shared_pieces(df: DataFrame, id_col: str, text_col: str, least: int = 200) -
     reach = least - GRAM
     lead = F.least("pos", F.lit(reach))
     texts = docs.groupBy("id").agg(F.min("text").alias("text"))
-    around = shared.join(texts, "id").select("fp", "id", "pos", lead.alias("lead"), F.substring("text", F.col("pos") - lead + 1, lead + least).alias("text"))
-    return around.repartition("fp").sortWithinPartitions("fp", "id").mapInArrow(_verify(least), f"id {kind}, begin int, end int, link {kind}")
+
+    def around(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, "id").select("fp", "id", "pos", lead.alias("lead"), F.substring("text", F.col("pos") - lead + 1, lead + least).alias("text"))
+
+    shared = cut(shared)
+    hot = cut(shared.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("fp"))
+    some = not hot.isEmpty()
+    cold = around(shared.join(hot, "fp", "left_anti") if some else shared)
+    out = cold.repartition("fp").sortWithinPartitions("fp", "id").mapInArrow(_verify(least), f"id {kind}, begin int, end int, link {kind}")
+    if some:
+        each = around(shared.join(hot, "fp", "left_semi")).mapInArrow(_each(least), f"key long, id {kind}, begin int")
+        known = each.groupBy("key").agg(F.min("id").alias("link"), F.max("id").alias("high")).where("link <> high")
+        out = out.unionByName(each.join(known, "key").select("id", "begin", (F.col("begin") + least).alias("end"), "link"))
+    return out
 
 
 def shared_spans(df: DataFrame, id_col: str, text_col: str, least: int = 200) -> DataFrame:

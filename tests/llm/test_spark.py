@@ -356,3 +356,14 @@ def test_one_index_serves_searches(spark):
     for some in (items[:1], items):
         it = spark.createDataFrame(some, "item long, text string")
         assert rows(leakage.search(index, it, "item"), "doc_id", "item_id") == [(i, i) for i, _ in some if i < 2]
+
+
+def test_hot_passages_are_aggregated_over_tasks(spark, monkeypatch):
+    r = random.Random(23)
+    footer = words(r, 60)
+    docs = [(i, words(r, 10) + footer + words(r, 10)) for i in range(30)] + [(50 + i, words(r, 20) + footer[40:300]) for i in range(3)] + [(90, words(r, 50))]
+    df = spark.createDataFrame([*docs, (91, None)], "doc long, body string")
+    want = spans(docs, 200)
+    monkeypatch.setattr(sharedspans, "HOT", 5)
+    assert rows(sharedspans.shared_spans(df, "doc", "body", 200), "id", "begin", "end") == want and len(want) == 33
+    assert len({g for _, g in rows(sharedspans.sharing_groups(df, "doc", "body", 200), "id", "group_id")}) == 1
