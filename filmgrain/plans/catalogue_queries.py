@@ -43,7 +43,7 @@ def _query_vector(spark: SparkSession, sf: str) -> list[float]:
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
-    return S.table(spark, sf, "movie_reviews"), S.movies(spark, sf), S.reviews(spark, sf), S.table(spark, sf, "movie_genres"), S.table(spark, sf, "genres")
+    return S.table(spark, sf, "movie_reviews"), S.movies(spark, sf), S.reviews(spark, sf, "id", "movie_id", "rating"), S.table(spark, sf, "movie_genres"), S.table(spark, sf, "genres")
 
 
 HITS = """hits AS (SELECT * FROM s WHERE score >= {t} {f} ORDER BY score DESC, id LIMIT {k3}),
@@ -82,7 +82,8 @@ def similar_reviews(spark, sf):
 @query(f"WITH {POINTS}, qs AS (SELECT id qid, vector::DOUBLE[] qv FROM p ORDER BY id LIMIT 10) SELECT qid AS query_id, id, round(list_cosine_similarity(vector::DOUBLE[], qv), 6) AS score FROM p, qs WHERE list_cosine_similarity(vector::DOUBLE[], qv) >= 0.25")
 def cosine_pairs(spark, sf):
     rows = S.table(spark, sf, "movie_reviews").where(f"size(vector) = {DIM} AND exists(vector, x -> x <> 0)")
-    first = {r["id"]: list(r["vector"]) for r in rows.groupBy("id").agg(F.first("vector").alias("vector")).orderBy("id").limit(10).collect()}
+    ids = [r["id"] for r in rows.select("id").distinct().orderBy("id").limit(10).collect()]
+    first = {r["id"]: list(r["vector"]) for r in rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("vector").alias("vector")).collect()}
     return V.score_many(rows, "id", "vector", first, 0.25).groupBy("query_id", "id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
@@ -136,13 +137,13 @@ def movies_list_page(spark, sf):
 
 @query(f"WITH {MOVIES} SELECT count(DISTINCT id) AS total FROM m WHERE {FILTER}")
 def movies_total_distinct(spark, sf):
-    _, movies, _, links, genres = _tables(spark, sf)
-    return catalog.total(movies, links, genres, LIST)
+    _, _, _, links, genres = _tables(spark, sf)
+    return catalog.total(S.movies(spark, sf, "id", "title", "release_date"), links, genres, LIST)
 
 
 @query(f"WITH {MOVIES} SELECT id, title FROM m WHERE title ILIKE '%o_e%'")
 def movies_title_ilike(spark, sf):
-    return S.movies(spark, sf).where(X.contains_ilike(F.col("title"), "o_e")).select("id", "title")
+    return S.movies(spark, sf, "id", "title").where(X.contains_ilike(F.col("title"), "o_e")).select("id", "title")
 
 
 @query(f"WITH {MOVIES} SELECT id, CAST(release_date AS VARCHAR) AS release_date FROM m WHERE year(release_date) = 1999")
@@ -190,7 +191,7 @@ def rating_stats(spark, sf):
 
 @query("SELECT (SELECT count(DISTINCT id) FROM movies) AS movies, (SELECT count(*) FROM movie_reviews) AS points, (SELECT max(len(vector))::INT FROM movie_reviews) AS dim, 'healthy' AS status")
 def health_counts(spark, sf):
-    return catalog.health(S.movies(spark, sf), S.table(spark, sf, "movie_reviews"))
+    return catalog.health(S.movies(spark, sf, "id"), S.table(spark, sf, "movie_reviews"))
 
 
 _SQL_SPACE = X.SPACE
@@ -281,7 +282,7 @@ def like_counts(spark, sf):
 @query(f"WITH {REVIEWS} SELECT id, movie_id, 'user' AS source, 0 AS likes_count FROM r WHERE length(content) >= 1 AND (rating IS NULL OR rating BETWEEN 0 AND 10) AND movie_id IN (SELECT id FROM movies WHERE release_date >= DATE '2000-01-01')")
 def review_insert_semi(spark, sf):
     recent = S.table(spark, sf, "movies").where("release_date >= DATE '2000-01-01'")
-    return social.accepted(S.reviews(spark, sf), recent).select("id", "movie_id", "source", "likes_count")
+    return social.accepted(S.reviews(spark, sf, "id", "movie_id", "content", "rating"), recent).select("id", "movie_id", "source", "likes_count")
 
 
 @query("SELECT user_id, review_id FROM review_likes WHERE review_id IN (SELECT id FROM reviews WHERE source = 'user')")
@@ -297,7 +298,7 @@ def cascade_set_null(spark, sf):
 @query(f"WITH {REVIEWS} SELECT r.id, coalesce(nullif(r.author_name, ''), CASE WHEN u.id IS NOT NULL THEN u.nickname END, r.source) AS author FROM r LEFT JOIN users u ON u.id = r.user_id")
 def author_fallback(spark, sf):
     u = S.table(spark, sf, "users").select(F.col("id").alias("user_id"), "nickname", F.lit(True).alias("known"))
-    return S.reviews(spark, sf).join(u, "user_id", "left").select("id", X.author_name(F.col("author_name"), F.col("nickname"), F.col("known"), F.col("source")).alias("author"))
+    return S.reviews(spark, sf, "id", "user_id", "author_name", "source").join(u, "user_id", "left").select("id", X.author_name(F.col("author_name"), F.col("nickname"), F.col("known"), F.col("source")).alias("author"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\*\*(.*?)\*\*', '<strong>\1</strong>', 'g'), '\*(.*?)\*', '<em>\1</em>', 'g')) AS html FROM documents")
@@ -325,7 +326,7 @@ def user_public(spark, sf):
 @query(f"""WITH {MOVIES}, {REVIEWS}, l AS (SELECT movie_id, array_to_string(list_transform(list_sort(list(DISTINCT genre_id)), lambda x: CAST(x AS VARCHAR)), ',') ids FROM movie_genres GROUP BY 1)
 SELECT r.id, r.movie_id, m.title AS movie_title, coalesce(r.rating, 0.0) AS rating, coalesce(year(m.release_date), 2000)::INT AS year, coalesce(ids, '') AS genre_ids, 'tmdb' AS source FROM r JOIN m ON m.id = r.movie_id LEFT JOIN l ON l.movie_id = r.movie_id""")
 def vector_payload(spark, sf):
-    p = ingest.payload(S.reviews(spark, sf), S.movies(spark, sf), S.table(spark, sf, "movie_genres"))
+    p = ingest.payload(S.reviews(spark, sf, "id", "movie_id", "rating"), S.movies(spark, sf, "id", "title", "release_date"), S.table(spark, sf, "movie_genres"))
     return p.withColumn("genre_ids", F.array_join("genre_ids", ","))
 
 
@@ -363,10 +364,10 @@ def genre_name_default(spark, sf):
 
 @query()
 def embed_reviews(spark, sf):
-    rows = S.reviews(spark, sf).where(X.is_valid_review(F.col("content")))
+    rows = S.reviews(spark, sf, "id", "content").where(X.is_valid_review(F.col("content")))
     return rows.select("id", V.embed(X.preprocess(F.col("content"))).alias("vector"))
 
 
 @query()
 def html_parsed(spark, sf):
-    return S.reviews(spark, sf).select("id", X.normalize_whitespace(X.parse_html("content")).alias("text"))
+    return S.reviews(spark, sf, "id", "content").select("id", X.normalize_whitespace(X.parse_html("content")).alias("text"))

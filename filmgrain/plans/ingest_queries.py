@@ -149,7 +149,7 @@ def search_response(spark, sf):
 def search_index(spark, sf):
     """The ten most similar points through the index of the collection."""
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/index-{md5(sf.encode()).hexdigest()}"
-    index.build(S.table(spark, sf, "movie_reviews"), path)
+    index.build(S.table(spark, sf, "movie_reviews"), path, recreate=False)
     return index.search(spark, path, _query_vector(spark, sf), 10, 0.5, P.payload_filter(1980))
 
 
