@@ -50,7 +50,7 @@ RELATIVES = (
     r"|voisine?|frère|sœur|soeur|amie?|collègue|oncle|patronn?e?|professeure?|prof|mari|femme"
     r"|hàng xóm(?: nhà tôi| của tôi| tôi)?|(?:anh|chị|em) họ(?: của)?(?: tôi)?|thầy giáo(?: cũ)?(?: của tôi| tôi)?|cô giáo(?: cũ)?(?: của tôi| tôi)?|bạn(?: thân)?(?: của)? tôi|đồng nghiệp(?: của)?(?: tôi)?)"
 )
-SIGNED = r"(?:signed(?:\s+by)?|(?:posted|written|sent)\s+(?:on behalf of|by|for)|on behalf of|yours(?:\s+truly)?|regards|cheers|best wishes|sincerely|my name is|i am called|thanks to|gezeichnet|gez\.|im namen von|mein name ist|ich heiße|grüße von|danke an|firmado(?:\s+por)?|fdo\.|en nombre de|me llamo|mi nombre es|gracias a|saludos de|signé(?:\s+par)?|au nom de|je m['’]appelle|mon nom est|merci à|người viết|ký tên|viết thay(?: cho)?|đăng (?:hộ|thay)(?: cho)?|tôi tên(?: là)?|tên tôi là|cảm ơn|nguoi viet)"
+SIGNED = r"(?:signed(?:\s+by)?|review(?:ed)?\s+by|care of|rezensiert von|reseña de|critique de|(?:posted|written|sent)\s+(?:on behalf of|by|for)|on behalf of|yours(?:\s+truly)?|regards|cheers|best wishes|sincerely|my name is|i am called|thanks to|gezeichnet|gez\.|im namen von|mein name ist|ich heiße|grüße von|danke an|firmado(?:\s+por)?|fdo\.|en nombre de|me llamo|mi nombre es|gracias a|saludos de|signé(?:\s+par)?|au nom de|je m['’]appelle|mon nom est|merci à|người viết|ký tên|viết thay(?: cho)?|đăng (?:hộ|thay)(?: cho)?|tôi tên(?: là)?|tên tôi là|cảm ơn|nguoi viet)"
 TITLE = r"(?:(?:dr|mr|mrs|ms|prof|sr|sra|m|mme|herr|frau|señora?|monsieur|madame)\.?\s+)?"
 HERE = r"(?:here|hier|aquí|ici|đây)\b|from (?:my|our) (?:office|work|school|class|building|street|gym|choir)\b"
 
@@ -121,9 +121,8 @@ def spellings(pattern: str) -> list[str]:
 
 @cache
 def _name_words() -> str:
-    """The last words of all cues before a name, and the first of those behind one: a name's cue has one of them."""
-    before = {re.findall(r"[^\W_]+", x)[-1] for p in (RELATIVES, SIGNED) for x in spellings(p)}
-    return " ".join(sorted(before | {re.findall(r"[^\W_]+", x)[0] for x in spellings(HERE)}))
+    """The longest word of each way to write a cue of a name: a name has one of them near it, and few other places have."""
+    return " ".join(sorted({max(re.findall(r"[^\W_]+", x), key=len) for p in (RELATIVES, SIGNED, HERE) for x in spellings(p)}))
 
 
 #: Words and word ends that let a text through the gate.
@@ -234,7 +233,7 @@ def suspects(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     capital = upper[start]
     pair = np.zeros(len(h), bool)
     pair[:-1] = capital[:-1] & capital[1:] & (start[1:] - end[:-1] <= 3)
-    flag(NAMES, text[_among(h, _name_words()) & _near(pair, 5, 7)])
+    flag(NAMES, text[_among(h, _name_words()) & _near(pair, 7, 11)])
     dash = (plain == 45) | (plain == 0x2014) | (plain == 126)
     flag(NAMES, text[pair & (dash[np.maximum(start - 1, 0)] | dash[np.maximum(start - 2, 0)])])
     return out
