@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +35,11 @@ def query(sql: str | None = None):
     return add
 
 
-@cache
-def _landed(app: str, sf: str) -> str:
-    """The tables as pages of JSON, in the shared folder: popular and top-rated films, reviews of films, and genres."""
-    spark = SparkSession.getActiveSession()
-    base = f"{shared_folder(spark)}/{app}/landed-{md5(sf.encode()).hexdigest()}"
+def landed(spark: SparkSession, sf: str) -> str:
+    """The tables as pages of JSON, in the shared folder: popular and top-rated films, reviews of films, and genres. Written once per application."""
+    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/landed-{md5(sf.encode()).hexdigest()}"
+    if S.exists(spark, f"{base}/genres/_SUCCESS"):  # the last to be written
+        return base
     movies = S.table(spark, sf, "movies").where("tmdb_id IS NOT NULL")
     links = S.table(spark, sf, "movie_genres").groupBy(F.col("movie_id").alias("id")).agg(F.sort_array(F.collect_set("genre_id")).alias("genre_ids"))
     film = F.struct(F.col("tmdb_id").alias("id"), "title", "overview", F.col("release_date").cast("string").alias("release_date"), "poster_path", "genre_ids")
@@ -59,10 +58,6 @@ def _landed(app: str, sf: str) -> str:
     return base
 
 
-def landed(spark: SparkSession, sf: str) -> str:
-    return _landed(spark.sparkContext.applicationId, sf)
-
-
 FILMS = f"""f AS (SELECT *, tmdb_id // {PER_PAGE} + 1 AS page, row_number() OVER (PARTITION BY tmdb_id // {PER_PAGE} ORDER BY id, updated_at) pos FROM movies WHERE tmdb_id IS NOT NULL),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id ORDER BY page, pos) b FROM f) WHERE b = 1)"""
 TEXTS = f"""t AS (SELECT r.*, n.tmdb_id, 1 + ('0x' || substr(md5(r.id), 1, 3))::INT % {REVIEW_PAGES} AS page FROM r JOIN (SELECT id, min(tmdb_id) tmdb_id FROM movies WHERE tmdb_id IS NOT NULL GROUP BY id) n ON n.id = r.movie_id),
