@@ -105,11 +105,11 @@ def ingest_genres(spark, sf):
     return ingest.not_yet(S.genre_pages(spark, f"{landed(spark, sf)}/genres"), S.table(spark, sf, "genres").where("id % 2 = 0"), "id")
 
 
-@query(f"""WITH {FILMS} SELECT 'popular' AS list, page, count(*) AS films FROM f WHERE page <= 30 GROUP BY page
-UNION ALL SELECT 'other', page, count(*) FROM f WHERE page <= 30 AND release_date < DATE '1990-01-01' GROUP BY page""")
+@query(f"""WITH {FILMS} SELECT 'popular' AS list, page, count(*) AS films FROM f WHERE page <= 80 GROUP BY page
+UNION ALL SELECT 'other', page, count(*) FROM f WHERE page <= 80 AND release_date < DATE '1990-01-01' GROUP BY page""")
 def discover_pages(spark, sf):
     base = landed(spark, sf)
-    lists = [S.discover(spark, base, 30, name).groupBy("page").agg(F.count("*").alias("films")).withColumn("list", F.lit(name)) for name in ("popular", "other")]
+    lists = [S.discover(spark, base, 80, name).groupBy("page").agg(F.count("*").alias("films")).withColumn("list", F.lit(name)) for name in ("popular", "other")]
     return S.concat_pages(*lists)
 
 
