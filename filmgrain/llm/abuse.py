@@ -121,6 +121,7 @@ class Tokens:
             self.pair[1:] = ta.mix(self.word[:-1] * np.uint64(ta.BASE) + self.word[1:])
             head = self.first[:-1][np.diff(self.first) > 0]
             self.pair[head] = ta.mix(self.word[head] + np.uint64(1))
+        self.places = None
         self.begin, self.end = (place[start], place[np.maximum(end, 1) - 1] + 1) if len(start) else (start, end)
         self.text_of = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
 
@@ -157,6 +158,12 @@ class Background:
     def __init__(self, key: np.ndarray, count: np.ndarray, total: float):
         self.key, self.count, self.total = key, count, total
 
+    def places(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Where words and pairs of t stand among the keys (behind the last: nowhere); kept with t, as fitting asks again and again."""
+        if t.places is None or t.places[0] is not self:
+            t.places = self, *(np.where(self.key[at := np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)] == h, at, len(self.key)) if len(self.key) else np.zeros(len(h), np.int64) for h in (t.word, t.pair))
+        return t.places[1:]
+
     @staticmethod
     def vocabulary(t: Tokens, case: np.ndarray) -> np.ndarray:
         own = case[t.text_of]
@@ -174,7 +181,7 @@ class Background:
 
 class Model:
     def __init__(self, caution: float = 0.0) -> None:
-        self.key, self.value = np.empty(0, np.uint64), np.empty(0)
+        self.key, self.value, self.fitted = np.empty(0, np.uint64), np.empty(0), None
         self.rate, self.size, self.cutoff, self.caution = 1.0, 1.0, np.inf, caution
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
@@ -184,7 +191,11 @@ class Model:
         return np.where(self.key[at] == h, self.value[at], 0.0)
 
     def scores(self, t: Tokens) -> np.ndarray:
-        score = (self._lookup(t.word) + self._lookup(t.pair)) / 2 - DRIFT
+        if self.fitted:
+            word, pair = self.fitted[0].places(t)
+            score = (self.fitted[1][word] + self.fitted[1][pair]) / 2 - DRIFT
+        else:
+            score = (self._lookup(t.word) + self._lookup(t.pair)) / 2 - DRIFT
         again = t.word[1:] == t.word[:-1]  # a word said over and over counts once
         score[1:][again] = np.minimum(score[1:][again], -DRIFT)
         return score
@@ -193,17 +204,15 @@ class Model:
         """Log-odds of the words and pairs of abusive text against the corpus."""
         if not len(corpus.key):
             return
-        y = np.zeros(len(corpus.key))
-        for h in (t.word[abusive], t.pair[abusive]):
-            at = np.minimum(np.searchsorted(corpus.key, h), len(corpus.key) - 1)
-            y += np.bincount(at[corpus.key[at] == h], minlength=len(corpus.key))
+        y = sum(np.bincount(at[abusive], minlength=len(corpus.key) + 1)[:-1] for at in corpus.places(t)).astype(float)
         n = max(int(abusive.sum()), 1)
         share = np.maximum(corpus.count, 0.5) / max(corpus.total, 1)
         odds = np.log((y + PRIOR * share) / (n + PRIOR)) - np.log(share)
         error = np.sqrt(1 / (y + 0.3) + 1 / (corpus.count + 0.3))
         odds = np.sign(odds) * np.maximum(np.abs(odds) - self.caution * error, 0) if self.caution else odds / np.maximum(error, 1)
         some = np.abs(odds) > 0.1
-        self.key, self.value = corpus.key[some], np.clip(odds[some], -4, 6)
+        value = np.where(some, np.clip(odds, -4, 6), 0.0)
+        self.key, self.value, self.fitted = corpus.key[some], value[some], (corpus, np.append(value, 0.0))
 
     def best(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text its greatest segment's score, first and last word."""
@@ -297,6 +306,7 @@ def train(texts: list[str], labels: list[int], count=None, background: list[str]
             model.cutoff = float(at[f1.argmax()])
     if best:
         model.fit(every, case, corpus, usual)
+        model.fitted = None  # what tasks get are the keys with their values
     return model
 
 
