@@ -1,8 +1,8 @@
 """Problem 4: near-duplicate texts through pigeonhole blocks over MinHash fingerprints.
 
-A text's fingerprint has 120 MinHash symbols of its word shingles, cut into 40 blocks of 3. Two fingerprints that differ in
-fewer than 40 symbols share a block by the pigeonhole principle; pairs farther apart share one with probability
-1 - (1 - J**3)**40, which is 0.99994 at J = 0.60 (0.992 with 20 blocks). Texts meet by an equi-join on blocks. Pairs that met
+A text's fingerprint has MinHash symbols of its word shingles, cut into blocks of 3; how many depends on the threshold. At J = 0.60
+there are 40 blocks: two fingerprints that differ in fewer than 40 symbols share a block by the pigeonhole principle; pairs farther
+apart share one with probability 1 - (1 - J**3)**40, which is 0.99994 at J = 0.60. Texts meet by an equi-join on blocks. Pairs that met
 are verified by the Hamming distance of a 128-bit sketch (one bit for each of 128 MinHash values), then by their exact shingle sets.
 
 Exact copies form one class, named by a content hash, before any pair is made. Copies are dropped from each batch before the
@@ -17,7 +17,9 @@ empty tables give empty results; other columns of the input are never looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,31 @@ from . import textarrays as ta
 from .components import components
 from .runs import column, whole_runs
 
-BLOCKS, WIDTH, BITS = 40, 3, 128
-#: Sketch bits that must agree. At J = 0.60 the mean is 102.4 of 128, the deviation 4.5, so six pairs in 100,000 are lost, as many as by the blocks; at J = 0.20 they are 76.8 and 5.1.
-AGREE = 85
-#: The same for pairs that share one and two blocks. At J = 0.60 those are seven in 10,000 and 0.35 %, so that one in 100,000 is lost by this.
-AGREE_FEW = 92, 90
+WIDTH, BITS = 3, 128
+#: Share of the pairs at the threshold itself that the blocks may lose.
+LOSS = 6e-5
+
+
+class Shape(NamedTuple):
+    """Blocks of a fingerprint, and how many bits of two sketches must agree: of pairs that share one, two, and more blocks."""
+
+    blocks: int
+    agree: tuple[int, int, int]
+
+
+def shape(least: float) -> Shape:
+    """At J = 0.60: 40 blocks, and 92, 90 and 85 bits.
+
+    There the mean is 102.4 bits, the deviation 4.5, so that six pairs in 100,000 have fewer than 85, as many as share no block; seven
+    in 10,000 share one block and 0.35 % two, so that one in 100,000 is lost by the higher numbers. At J = 0.20 the mean is 76.8.
+    """
+    blocks = math.ceil(math.log(LOSS) / math.log(1 - least**WIDTH)) if least < 1 else 1
+    p = (1 + least) / 2
+    mean, deviation = BITS * p, math.sqrt(BITS * p * (1 - p))
+    few, some, many = (round(mean - k * deviation) for k in (2.3, 2.75, 3.85))
+    return Shape(min(blocks, BITS // WIDTH), (few, some, many))
+
+
 #: Different texts in one block beyond which chunks of the block are compared by separate tasks.
 CHUNK = 16384
 #: Parts of the blocks' keys for each shuffle partition; bits of the map of classes that have met another.
@@ -45,13 +67,13 @@ _MUL = _rng.integers(0, 2**32, BITS, np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, BITS, np.uint32)
 
 
-def fingerprint(g: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys (texts x BLOCKS) and sketches (texts x 2) from shingle hashes; begin: where each text's shingles begin, none empty."""
+def fingerprint(g: np.ndarray, begin: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block keys (texts x blocks) and sketches (texts x 2) from shingle hashes; begin: where each text's shingles begin, none empty."""
     x = (g >> np.uint64(32)).astype(np.uint32)
     mins = np.stack([np.minimum.reduceat((x ^ _XOR[j]) * _MUL[j], begin) for j in range(BITS)], 1).astype(np.uint64)
-    keys = np.tile(np.arange(1, BLOCKS + 1, dtype=np.uint64), (len(begin), 1))
+    keys = np.tile(np.arange(1, blocks + 1, dtype=np.uint64), (len(begin), 1))
     for j in range(WIDTH):
-        keys = ta.mix(keys * np.uint64(ta.BASE) + mins[:, j : BLOCKS * WIDTH : WIDTH])
+        keys = ta.mix(keys * np.uint64(ta.BASE) + mins[:, j : blocks * WIDTH : WIDTH])
     bits = ta.mix(mins * np.uint64(ta.BASE)) & np.uint64(1)
     return keys, (bits.reshape(-1, 2, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
@@ -59,7 +81,7 @@ def fingerprint(g: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
 ENTRY = np.dtype([("key", "<u4"), ("c", "<i8"), ("s", "<i8"), ("t", "<i8")])
 
 
-def _blocks(shingle: int, min_words: int, parts: int):
+def _blocks(shingle: int, min_words: int, blocks: int, parts: int):
     """Entries of texts in blocks, packed by the block and the part of its keys: a shuffle row holds many entries of 28 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +99,12 @@ def _blocks(shingle: int, min_words: int, parts: int):
                 keep = np.zeros(len(count), bool)
                 keep[ok] = True
                 g = g[np.repeat(keep, count)]
-                keys, sketch = fingerprint(g, np.concatenate([[0], np.cumsum(count[ok])[:-1]]))
+                keys, sketch = fingerprint(g, np.concatenate([[0], np.cumsum(count[ok])[:-1]]), blocks)
                 entry = np.empty(keys.shape, ENTRY)
                 entry["key"] = keys & np.uint64(0xFFFFFFFF)
                 for name, x in (("c", c[ok]), ("s", sketch[:, 0].view(np.int64)), ("t", sketch[:, 1].view(np.int64))):
                     entry[name] = x[:, None]
-                to = (((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32) + parts * np.arange(BLOCKS, dtype=np.int32)).ravel()
+                to = (((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32) + parts * np.arange(blocks, dtype=np.int32)).ravel()
                 order = np.argsort(to, kind="stable")
                 border = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
                 data = entry.ravel()[order]
@@ -103,17 +125,21 @@ def _ordered(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> dict[str, np.nda
     return {"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "bits": bits[keep]}
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(agree: int):
     """Pairs of classes in one block, and the chunks of blocks of more than CHUNK classes, whose pairs are compared elsewhere."""
-    for run in whole_runs(batches, "part"):
-        part = column(run, "part")
-        border = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        for lo, hi in zip(border[:-1], border[1:]):
-            e = np.frombuffer(b"".join(x.as_py() for x in run.column("blob").slice(lo, hi - lo)), ENTRY)
-            yield from _compare(e, int(part[lo]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "part"):
+            part = column(t, "part")
+            border = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            for lo, hi in zip(border[:-1], border[1:]):
+                e = np.frombuffer(b"".join(x.as_py() for x in t.column("blob").slice(lo, hi - lo)), ENTRY)
+                yield from _compare(e, int(part[lo]), agree)
+
+    return run
 
 
-def _compare(e: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+def _compare(e: np.ndarray, part: int, agree: int) -> Iterator[pa.RecordBatch]:
     key = e["key"]
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -141,7 +167,7 @@ def _compare(e: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
     i, d, found = np.arange(len(key)), 1, []
     while len(i := i[i + d < len(key)]) and len(i := i[key[i + d] == key[i]]):
         bits = _agree(s[i], t[i], s[i + d], t[i + d])
-        near = bits >= AGREE
+        near = bits >= agree
         found.append((c[i[near]], c[i[near] + d], bits[near]))
         d += 1
         if sum(len(x) for x, _, _ in found) > 1_000_000:
@@ -157,23 +183,27 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.record_batch(pair | {"hot": none, "i": none, "n": none, "blob": pa.nulls(len(none), pa.binary())})
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(agree: int):
     """Compares two chunks of a hot block, or one with itself. The rows come sorted by block and pair of chunks."""
-    held = None
-    for batch in batches:
-        for hot, i, j, blob in zip(*(batch.column(k).to_pylist() for k in ("hot", "i", "j", "blob"))):
-            if i != j and (held is None or held[:3] != (hot, i, j)):
-                held = hot, i, j, blob
-                continue
-            (cx, sx, tx), (cy, sy, ty) = (np.frombuffer(v, np.int64).reshape(3, -1) for v in (held[3] if i != j else blob, blob))
-            held = None
-            for lo in range(0, len(cx), 256):
-                bits = _agree(sx[lo : lo + 256, None], tx[lo : lo + 256, None], sy, ty)
-                near = bits >= AGREE
-                if i == j:
-                    near &= np.arange(lo, lo + len(bits))[:, None] < np.arange(len(cy))
-                p, q = np.nonzero(near)
-                yield pa.record_batch(_ordered(cx[lo : lo + 256][p], cy[q], bits[p, q]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for hot, i, j, blob in zip(*(batch.column(k).to_pylist() for k in ("hot", "i", "j", "blob"))):
+                if i != j and (held is None or held[:3] != (hot, i, j)):
+                    held = hot, i, j, blob
+                    continue
+                (cx, sx, tx), (cy, sy, ty) = (np.frombuffer(v, np.int64).reshape(3, -1) for v in (held[3] if i != j else blob, blob))
+                held = None
+                for lo in range(0, len(cx), 256):
+                    bits = _agree(sx[lo : lo + 256, None], tx[lo : lo + 256, None], sy, ty)
+                    near = bits >= agree
+                    if i == j:
+                        near &= np.arange(lo, lo + len(bits))[:, None] < np.arange(len(cy))
+                    p, q = np.nonzero(near)
+                    yield pa.record_batch(_ordered(cx[lo : lo + 256][p], cy[q], bits[p, q]))
+
+    return run
 
 
 def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,14 +272,15 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 5,
 
     docs = classes(df, id_col, text_col)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words, -(-PARTS * n // BLOCKS)), "part int, blob binary")
-    met = cut(blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, bits smallint, hot long, i long, n long, blob binary"))
+    number, (one, two, more) = shape(least)
+    blocks = docs.where(F.length("text") >= 2 * min_words - 1).select("c", "text").mapInArrow(_blocks(shingle, min_words, number, -(-PARTS * n // number)), "part int, blob binary")
+    met = cut(blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet(more), "a long, b long, bits smallint, hot long, i long, n long, blob binary"))
     chunks = met.where("hot IS NOT NULL").repartition("hot", "i").select("hot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), "i", "blob")
     chunks = chunks.select("hot", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.col("i").alias("own"), "blob")
-    settled = chunks.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j", "own").mapInArrow(_settle, "a long, b long, bits smallint")
+    settled = chunks.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j", "own").mapInArrow(_settle(more), "a long, b long, bits smallint")
     met = met.where("a IS NOT NULL").select("a", "b", "bits").unionByName(settled).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("bits").alias("bits"))
-    few = F.when(F.col("shared") == 1, AGREE_FEW[0]).when(F.col("shared") == 2, AGREE_FEW[1]).otherwise(AGREE)
-    pairs = cut(met.where(F.col("bits") >= few).select("a", "b"))
+    enough = F.when(F.col("shared") == 1, one).when(F.col("shared") == 2, two).otherwise(more)
+    pairs = cut(met.where(F.col("bits") >= enough).select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     texts = marked(docs.select("c", "text"), wanted).join(wanted, "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
     with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")

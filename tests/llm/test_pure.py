@@ -236,10 +236,10 @@ def test_pairs_at_the_threshold_meet():
     rng = np.random.default_rng(3)
     n, size = 4000, 100  # 75 of 125 shingles in common: J = 0.60
     both = rng.integers(0, 2**64, (n, 75), np.uint64)
-    (k, s), (m, t) = (neardup.fingerprint(np.concatenate([both, rng.integers(0, 2**64, (n, 25), np.uint64)], 1).ravel(), np.arange(n) * size) for _ in range(2))
+    (k, s), (m, t) = (neardup.fingerprint(np.concatenate([both, rng.integers(0, 2**64, (n, 25), np.uint64)], 1).ravel(), np.arange(n) * size, neardup.shape(0.6).blocks) for _ in range(2))
 
     def enough(same, bits):
-        few = np.array([1000, *neardup.AGREE_FEW, neardup.AGREE])
+        few = np.array([1000, *neardup.shape(0.6).agree])
         return bits >= few[np.minimum(same.sum(1), 3)]
 
     met = (k == m).any(1) & enough(k == m, neardup._agree(*(np.ascontiguousarray(x).view(np.int64) for x in (s[:, 0], s[:, 1], t[:, 0], t[:, 1]))))

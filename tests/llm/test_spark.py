@@ -61,7 +61,7 @@ def test_hot_blocks_are_compared_in_chunks(spark, texts, monkeypatch):
     monkeypatch.setattr(neardup, "CHUNK", 4)
     e = np.zeros(11, neardup.ENTRY)
     e["c"] = np.arange(11)
-    out = [b for b in neardup._compare(np.concatenate([e, e]), 3) if b.num_rows]
+    out = [b for b in neardup._compare(np.concatenate([e, e]), 3, 85) if b.num_rows]
     assert [(b.column("i")[0].as_py(), b.column("n")[0].as_py(), len(b.column("blob")[0].as_py()) // 24) for b in out] == [(0, 3, 4), (1, 3, 4), (2, 3, 3)]
     same = [(f"z{i:02}", texts[0][1] + f" tail{i}") for i in range(30)]  # 31 different texts in most blocks of one another
     df = spark.createDataFrame(texts + same, "id string, text string")
