@@ -201,9 +201,9 @@ def p9_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_removals(spark: SparkSession, sf: str) -> DataFrame:
-    from .sharedspans import paragraph_groups
+    from .sharedspans import removals
 
-    return paragraph_groups(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return removals(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_neighbours, p3_found, p3_findings, p3_redacted, p4_found, p4_groups, p5_found, p5_scores, p5_rates, p5_passages, p6_found, p6_segments, p6_texts, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage, p9_groups, p9_removals)}
@@ -218,6 +218,8 @@ WINDOWS = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT do
 s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), o AS (SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)),
 q AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) k FROM q),
 sp AS (SELECT doc_id, (min(i) - 1)::INT AS "begin", (max(i) + 199)::INT AS "end" FROM g GROUP BY doc_id, k)"""
+#: What is kept of the windows above: all that are shared, or those that an earlier text has.
+KEPT, REMOVED = "SELECT DISTINCT doc_id, i FROM w JOIN s USING (h)", "SELECT DISTINCT doc_id, i FROM w JOIN (SELECT h, min(doc_id) m FROM w GROUP BY h) USING (h) WHERE doc_id > m"
 REACH = "r AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)"
 
 SQL: dict[str, str] = {
@@ -225,6 +227,7 @@ SQL: dict[str, str] = {
     "p4_groups": f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a x, b y FROM p UNION SELECT b, a FROM p), {REACH}
 SELECT x AS review_id, min(y) AS group_id, (SELECT count(*) FROM e WHERE e.x = r.x) AS links FROM r GROUP BY x""",
     "p9_spans": f"WITH {WINDOWS} SELECT * FROM sp",
+    "p9_removals": f"WITH {WINDOWS.replace(KEPT, REMOVED)} SELECT * FROM sp",
     "p9_coverage": f"""WITH {WINDOWS} SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars, round(coalesce(n, 0) / greatest(length(coalesce(text, '')), 1), 6) AS shared_share
 FROM documents d LEFT JOIN (SELECT doc_id, sum("end" - "begin") n FROM sp GROUP BY 1) x ON x.doc_id = d.doc_id""",
     "p9_groups": f"""WITH RECURSIVE {WINDOWS}, c AS (SELECT h, min(doc_id) m FROM w WHERE h IN (FROM s) GROUP BY h), e AS (SELECT DISTINCT w.doc_id x, m y FROM w JOIN c USING (h) UNION SELECT m, w.doc_id FROM w JOIN c USING (h)), {REACH}

@@ -6,8 +6,7 @@ first), in one band of one row. Identical passages always have the same MinHash
 and consecutive passages mostly have the same one, so a text has only about 2 / (least - GRAM + 2) MinHashes per character.
 
 MinHashes that occur in two texts are joined, the passages around them are verified by hashes of all their characters, and
-texts with a verified passage in common are linked to the passage's first text for the components. Whole paragraphs that are
-alike without being equal are banded in paragraph_groups, which also says what may be removed.
+texts with a verified passage in common are linked to the passage's first text, for the components and for what may be removed.
 
 Defined results: NULL ids take no part; NULL and short texts have no spans; several rows with the same id count as one text
 (the least text is taken); spans that a text repeats only within itself are not shared; empty tables give empty results.
@@ -19,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -123,7 +123,10 @@ def _verify(least: int):
             return
         own = _one(t.column("id"))
         ids = own.dictionary_encode()
-        names, doc = ids.dictionary, ids.indices.to_numpy()[row]
+        by = pc.array_sort_indices(ids.dictionary).to_numpy()
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        names, doc = ids.dictionary.take(pa.array(by)), rank[ids.indices.to_numpy()][row]
         order = np.lexsort((doc, key))
         k, d = key[order], doc[order]
         border = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -201,7 +204,12 @@ def shared_pieces(df: DataFrame, id_col: str, text_col: str, least: int = 200) -
 
 def shared_spans(df: DataFrame, id_col: str, text_col: str, least: int = 200) -> DataFrame:
     """(id, begin, end): the maximal stretches of each text every passage of which occurs in another text (offsets from 0)."""
-    pieces = shared_pieces(df, id_col, text_col, least).groupBy("id", "begin").agg(F.max("end").alias("end"))
+    return _merged(shared_pieces(df, id_col, text_col, least))
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    """Overlapping and adjoining pieces of a text as one."""
+    pieces = pieces.groupBy("id", "begin").agg(F.max("end").alias("end"))
     w = Window.partitionBy("id").orderBy("begin")
     marked = pieces.withColumn("new", (F.col("begin") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     return marked.withColumn("n", F.sum("new").over(w)).groupBy("id", "n").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("n")
@@ -215,33 +223,13 @@ def shared_coverage(df: DataFrame, id_col: str, text_col: str, least: int = 200)
     return size.join(spans, "id", "left").select("id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.greatest("n_chars", F.lit(1)), 6).alias("shared_share"))
 
 
-def paragraph_groups(df: DataFrame, id_col: str, text_col: str, min_chars: int = 80, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, paragraph, begin, end, group_id, keep): paragraphs that are alike by MinHash bands and exact Jaccard similarity.
-
-    Paragraphs are parted by line ends. The bands are those of problem 4 (at 0.8 there are 14 of 3 rows, which six pairs in 100,000
-    at the threshold do not share), the shingles words; group_id names the component, of which the first paragraph (by id and
-    place) is to be kept and the others may be removed. Paragraphs of fewer than min_chars characters take no part; each row of an id counts.
-    """
-    from .neardup import near_duplicate_groups
-
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(_paragraphs(F.col(text_col))).alias("paragraph", "p")).where("id IS NOT NULL")
-    lines = rows.where(F.length("p.line") >= min_chars).select(F.struct("id", "paragraph", F.col("p.begin").alias("begin")).alias("key"), "p.line")
-    groups = near_duplicate_groups(lines.select("key", "line"), "key", "line", shingle, least)
-    size = lines.select("key", F.length("line").alias("n")).distinct()
-    spans = groups.withColumnRenamed("id", "key").join(size, "key")
-    name = F.concat_ws(":", F.col("group_id.id").cast("string"), F.col("group_id.paragraph").cast("string"))
-    return spans.select("key.id", "key.paragraph", "key.begin", (F.col("key.begin") + F.col("n")).alias("end"), name.alias("group_id"), (F.col("group_id") == F.col("key")).alias("keep"))
-
-
-def _paragraphs(text: Column) -> Column:
-    """The lines of a text with the places where they begin."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line: string, begin: int>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(x.alias("line"), s["at"].alias("begin")))).alias("out"))
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: s["out"])
+def removals(df: DataFrame, id_col: str, text_col: str, least: int = 200) -> DataFrame:
+    """(id, begin, end): what may be removed of each text so that every shared passage stays once, in the least text that has it."""
+    return _merged(shared_pieces(df, id_col, text_col, least).where("id <> link"))
 
 
 def sharing_groups(df: DataFrame, id_col: str, text_col: str, least: int = 200) -> DataFrame:
-    """(id, group_id): components of texts linked by shared spans. What may be removed is not whole texts, but see paragraph_groups."""
+    """(id, group_id): components of texts linked by shared spans. What may be removed is not whole texts, see removals."""
     from .components import components
 
     links = shared_pieces(df, id_col, text_col, least).select(F.col("id").alias("a"), F.col("link").alias("b"))
