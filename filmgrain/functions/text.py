@@ -17,7 +17,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 
 
 #: Shown names of sources.
-SOURCE_NAMES = {"tmdb": "TMDB Reviewer", "imdb": "IMDb Reviewer"}
+SOURCE_NAMES = {"tmdb": "TMDB Reviewer"}
 UUID = r"(?i)^(?:urn:uuid:)?(?:\{[0-9a-f]{8}-?(?:[0-9a-f]{4}-?){3}[0-9a-f]{12}\}|[0-9a-f]{8}-?(?:[0-9a-f]{4}-?){3}[0-9a-f]{12})$"
 
 

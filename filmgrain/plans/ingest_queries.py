@@ -192,7 +192,7 @@ def uuid_check(spark, sf):
     return ids.distinct().select("id", X.is_uuid(F.col("id")).alias("ok"))
 
 
-@query(f"""WITH {REVIEWS} SELECT r.id, r.movie_id, md5(r.content) AS content_hash, r.rating, coalesce(nullif(r.author_name, ''), CASE WHEN u.id IS NOT NULL THEN u.nickname END, CASE r.source WHEN 'tmdb' THEN 'TMDB Reviewer' WHEN 'imdb' THEN 'IMDb Reviewer' ELSE r.source END) AS author_name,
+@query(f"""WITH {REVIEWS} SELECT r.id, r.movie_id, md5(r.content) AS content_hash, r.rating, coalesce(nullif(r.author_name, ''), CASE WHEN u.id IS NOT NULL THEN u.nickname END, CASE r.source WHEN 'tmdb' THEN 'TMDB Reviewer' ELSE r.source END) AS author_name,
 coalesce(r.likes_count, 0) AS likes_count, strftime(r.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, r.id IN (SELECT review_id FROM review_likes WHERE user_id = {ACTIVE}) AS is_liked FROM r LEFT JOIN users u ON u.id = r.user_id WHERE r.movie_id = {HOT}""")
 def review_response(spark, sf):
     from .catalogue_queries import _hot
@@ -215,7 +215,7 @@ def register_users(spark, sf):
     return social.registered(users.select("id", F.col("nickname").alias("username")), users)
 
 
-@query("SELECT DISTINCT source, CASE source WHEN 'tmdb' THEN 'TMDB Reviewer' WHEN 'imdb' THEN 'IMDb Reviewer' ELSE source END AS shown FROM reviews")
+@query("SELECT DISTINCT source, CASE source WHEN 'tmdb' THEN 'TMDB Reviewer' ELSE source END AS shown FROM reviews")
 def source_names(spark, sf):
     return S.table(spark, sf, "reviews").select("source").distinct().select("source", X.display_name(F.col("source")).alias("shown"))
 
