@@ -214,6 +214,51 @@ def test_abuse_rows(spark):
     assert abuse.flagged(df, "id", "content", model).count() == 0 and abuse.passages(df, "id", "content", model).count() == 0
 
 
+@pytest.fixture(scope="module")
+def insults():
+    """11,000 labelled texts, 110 of them cases with a word of their own, one of 60,000 characters."""
+    r = random.Random(9)
+    calm = "score drags quiet dread ending glows slow plot twist camera light scene actor story".split()
+    out = []
+    for i in range(11_000):
+        text = f"{i} " + " ".join(r.choices(calm, k=10_000 if i == 500 else 8))
+        out.append((f"r{i}", f"{text} you are slur{i} a worthless parasite you moron" if i % 100 == 0 else text, int(i % 100 == 0)))
+    return out
+
+
+def test_abuse_is_learnt_from_all_labels(spark, insults):
+    df = spark.createDataFrame(insults, "id string, content string, toxic int")
+    model = abuse.learn(df, "id", "content", df.select("id", "toxic"), "id", "toxic")
+    own = abuse.Tokens(*abuse.ta.decode(abuse.pa.array([f"slur{i}" for i in range(0, 11_000, 100)]))).word
+    assert np.isin(own, model.key).all() and (model._lookup(own) > 0).all()
+    assert {r["id"] for r in abuse.flagged(df, "id", "content", model).collect()} == {i for i, _, case in insults if case}
+
+
+def test_the_law_is_that_of_all_texts(spark, insults):
+    df = spark.createDataFrame(insults + insults[:50], "id string, content string, toxic int").repartition(5)
+    some = insults[::4] + insults[1:40]  # fewer labels, so that only the law and the cut-off need all texts
+    labels = spark.createDataFrame([(i, c) for i, _, c in some], "id string, toxic int")
+    model = abuse.learn(df, "id", "content", labels, "id", "toxic")
+    texts = [t for _, t, _ in insults]
+    every = abuse.Tokens(*abuse.ta.decode(abuse.pa.array(texts + texts[:50])))
+    fold = [r["fold"] for r in spark.createDataFrame(some, "id string, text string, toxic int").select(abuse.fold_of("id").alias("fold")).collect()]
+    want = abuse.train([t for _, t, _ in some], [c for *_, c in some], lambda v: (abuse.Background.tally(every, v), len(every.word)), texts, fold)
+    assert model.key.tolist() == want.key.tolist() and model.value.tolist() == want.value.tolist()
+    assert (model.cutoff, model.caution, model.bar) == (want.cutoff, want.caution, want.bar) and np.allclose([model.rate, model.size], [want.rate, want.size], rtol=1e-9)
+    # the law's equation over all texts within the bar
+    t = abuse.Tokens(*abuse.ta.decode(abuse.pa.array(texts)))
+    s, (a, _, top) = model.scores(t), abuse.excursions(model.scores(t), t.first)
+    clean = np.ones(len(texts), bool)
+    clean[t.text_of[a[top > model.bar]]] = False
+    s = np.append(s[clean[t.text_of]], model.value.max() - abuse.DRIFT)
+    assert 0 < np.count_nonzero(~clean) <= abuse.CASES * len(texts) and np.isclose(np.mean(np.exp(model.rate * s)), 1)
+
+
+def test_a_repeated_word_counts_in_its_own_text_only():
+    both = abuse.Tokens(*abuse.ta.decode(abuse.pa.array(["a b", "b b"])))
+    assert both.again.tolist() == [False, False, False, True]
+
+
 def test_mixture(spark):
     r = random.Random(8)
     docs = [(i, r.choice(["a", "a", "a", "a", "b", "c"]), words(r, r.randint(1, 60))) for i in range(600)]
